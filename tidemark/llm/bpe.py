@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, ragged, text_buffer, whole_text
+from tidemark.llm.common import arrow, chunks, ragged, text_buffer, whole_text
 from tidemark.llm.spans import SpanCache, gpt_spans
 
 #: No pair to merge.
@@ -248,7 +248,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", out: str = "id
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(arrow, run, schema)
 
 
 def decode_column(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -262,7 +262,7 @@ def decode_column(rows: DataFrame, path: str, ids: str = "ids", out: str = "text
             texts = [b"".join(model.piece[i] for i in x or ()).decode("utf-8", "replace") for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(arrow, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -285,4 +285,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             shas, decoded_shas, same = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(shas), pa.array(decoded_shas), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).transform(arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -6,23 +6,57 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, content_sort, mixing, simhash, token_counts, wavelet
 from tidemark.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+#: Appended to each document's ids.
+END_ID = 2
+
+
+def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID))
+
+
+def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.content_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"), radius=3, shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), limit=4096)
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_wavelet_shards": op2_wavelet_shards,
+        "op3_content_sort": op3_content_sort,
+        "op4_simhash_blocks": op4_simhash_blocks,
+        "op5_two_tier_token_counts": op5_two_tier_token_counts,
+        "op6_mix_sources": op6_mix_sources,
         "op9_bpe_segment_tree": op9_bpe_segment_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_content_sort": content_sort.ORACLE_SQL,
+        "op6_mix_sources": mixing.ORACLE_SQL,
+    }

@@ -253,8 +253,20 @@ class SpanCache:
             self.size[made] = 17
             self.long.update(zip(fresh, made.tolist(), strict=True))
             slot[missing] = [self.long[k] for k in spelled]
+        self.slots = slot
         return self.start[slot], self.length[slot]
 
+    def counted(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> list[tuple[bytes, int]]:
+        """The most frequent spans of the last lookup and how often they occur."""
+        if not len(starts):
+            return []
+        counts = np.bincount(self.slots)
+        shown = np.zeros(len(counts), np.int64)
+        shown[self.slots] = np.arange(len(starts))
+        top = np.argsort(-counts, kind="stable")[:most]
+        top = top[counts[top] > 0]
+        return [(raw[starts[i] : ends[i]].tobytes(), int(n)) for i, n in zip(shown[top].tolist(), counts[top].tolist(), strict=True)]
+
     def ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values one after another, and each span's length."""
         first, lengths = self.lookup(raw, starts, ends)
