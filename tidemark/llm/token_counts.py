@@ -61,6 +61,14 @@ def _plain(key: bytes) -> str:
     return (key[1:] if key[:1] == b" " else key).decode("utf-8")
 
 
+def _lengths(model, keys: list[bytes]) -> list[int]:
+    """Numbers of tokens of pre-tokens. A lone blank at a text's end has no text of its own to encode."""
+    if not keys:
+        return []
+    blank = len(model.encode("a ")) - len(model.encode("a"))
+    return [blank if k == b" " else n for k, n in zip(keys, map(len, model.encode([_plain(k) for k in keys], num_threads=1)), strict=True)]
+
+
 def frequent_lengths(texts: DataFrame, path: str, frequent: int, kept: int) -> dict[bytes, int]:
     """Numbers of tokens of at most ``frequent`` pre-tokens. Each task offers its ``kept`` most frequent ones."""
 
@@ -79,7 +87,7 @@ def frequent_lengths(texts: DataFrame, path: str, frequent: int, kept: int) -> d
 
     offered = texts.transform(arrow, run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     keys = [bytes(r.piece) for r in offered.orderBy(F.desc("n"), "piece").limit(frequent).collect()]
-    return dict(zip(keys, map(len, processor(path).encode([_plain(k) for k in keys], num_threads=1)), strict=True)) if keys else {}
+    return dict(zip(keys, _lengths(processor(path), keys), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, frequent: int = 16_384, kept: int = 2_048) -> DataFrame:
@@ -93,7 +101,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, frequent: int =
 
         def encode(keys: list[bytes]) -> list[tuple[int]]:
             rare = [k for k in keys if k not in known]
-            found = dict(zip(rare, map(len, model.encode([_plain(k) for k in rare], num_threads=1)), strict=True)) if rare else {}
+            found = dict(zip(rare, _lengths(model, rare), strict=True))
             return [(known[k] if k in known else found[k],) for k in keys]
 
         if ("cache", path) not in _worker:
