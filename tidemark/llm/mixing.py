@@ -94,12 +94,13 @@ def mixed_documents(docs: DataFrame, cap: float = 3.0, cycle: int = 3, bins: int
     have fixed keys."""
     names = docs.columns
     of = {n.lower(): f"c{k}" for k, n in enumerate(names)}
-    keyed = docs.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("row_key", F.monotonically_increasing_id())
+    keyed = written(docs.toDF(*of.values()).withColumn("row_key", F.monotonically_increasing_id()), "mix-rows")
     rows = written(_sized(keyed.select("row_key", F.col(of["doc_id"]).cast("long").alias("doc_id"), F.col(of["source"]).cast("string").alias("source"), F.col(of["text"]).alias("text"))), "sizes")
     decided = _taken(rows, cap, cycle, bins).filter("taken > 0").select("row_key", "size", "epochs", "extra")
     copies = F.col("epochs") + F.when(F.col("extra") > 0, 1).otherwise(0)
     out = keyed.join(decided, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    cut = F.regexp_extract(F.col(of["text"]), F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){"), F.col("extra").cast("string"), F.lit("}")), F.lit(0))
+    words = F.regexp_extract_all(of["text"], F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, 1, F.col("extra").cast("int")), "")
     partly = (F.col("copy") > F.col("epochs")) & (F.col("extra") < F.col("size"))
     return out.withColumn(of["text"], F.when(partly, cut).otherwise(F.col(of["text"]))).select(*of.values()).toDF(*names)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, content_sort, mixing, simhash, token_counts, wavelet
+from tidemark.llm import bilinear, bpe, content_sort, importance, mixing, pii, simhash, telephony, token_counts, wavelet
 from tidemark.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ PIECE_BPE = "piece_bpe_32k.model"
 END_ID = 2
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return importance.scores(docs, importance.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID))
 
@@ -40,18 +45,34 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score(table(spark, sf_dir, "documents"))
+
+
+def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.features(telephony.store(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_importance_resampling": op1_importance_resampling,
         "op2_wavelet_shards": op2_wavelet_shards,
         "op3_content_sort": op3_content_sort,
         "op4_simhash_blocks": op4_simhash_blocks,
         "op5_two_tier_token_counts": op5_two_tier_token_counts,
         "op6_mix_sources": op6_mix_sources,
+        "op7_log_bilinear": op7_log_bilinear,
+        "op8_telephony_audio": op8_telephony_audio,
         "op9_bpe_segment_tree": op9_bpe_segment_tree,
+        "op10_pii_boosting": op10_pii_boosting,
     }
 
 

@@ -37,35 +37,48 @@ def words(raw: bytes) -> list[bytes]:
     return raw.split()
 
 
-def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42, block: int = 1 << 16) -> int:
-    """The unsigned fingerprint of a UTF-8 text, ``block`` shingles at a time."""
+def segments_of(h: np.ndarray, s: int) -> np.ndarray:
+    """Hash values of segment ``s``: XXH64 itself for the first, for others a mix of it."""
+    if not s:
+        return h
+    x = h + np.uint64(s) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(raw: bytes, shingle: int = 3, segments: int = 1, seed: int = 42, block: int = 1 << 14) -> np.ndarray:
+    """The unsigned 64-bit segments of a UTF-8 text's fingerprint, ``block`` shingles at a time."""
     found = words(raw.translate(_LOWER))
     if not found:
-        return 0
+        return np.zeros(segments, np.uint64)
     n = max(1, len(found) - shingle + 1)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(lengths + 1) - lengths - 1
     ends = (starts + lengths)[min(shingle, len(found)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((segments, 64), np.int64)
     for a in range(0, n, block):
         h = np.array([digest(joined[x:y], seed) for x, y in zip(starts[a : min(n, a + block)].tolist(), ends[a : min(n, a + block)].tolist(), strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        for s in range(segments):
+            counts[s] += np.unpackbits(segments_of(h, s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, segments: int = 1) -> DataFrame:
+    """row_key, doc_id and fps (the fingerprint's segments as signed longs) of rows with row_key, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            raw, offsets = text_buffer(b.column(1))
+            raw, offsets = text_buffer(b.column(2))
             data = raw.tobytes()
-            found = [fingerprint(data[x:y], shingle) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = np.concatenate([fingerprint(data[x:y], shingle, segments) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * segments, pa.int32()), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["row_key", "doc_id", "fps"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).transform(arrow, run, "doc_id long, fp long")
+    rows = docs.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return rows.transform(arrow, run, "row_key long, doc_id long, fps array<long>")
 
 
 def block_masks(n: int, radius: int) -> list[int]:
@@ -81,11 +94,11 @@ def block_masks(n: int, radius: int) -> list[int]:
 
 
 def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within ``left`` (right None) or between the two."""
-    everything = left if right is None else np.concatenate([left, right])
-    others = everything if right is None else right
+    """Places of the ends of a spanning forest's edges: of the links within ``left`` (right None) or between the two, whose
+    places follow those of ``left``."""
+    others = left if right is None else right
     shift = 0 if right is None else len(left)
-    parent = list(range(len(everything)))
+    parent = list(range(shift + len(others)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -100,44 +113,42 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tup
         for i, j in zip(*(x.tolist() for x in np.nonzero(close)), strict=True):
             if (x := find(a + i)) != (y := find(shift + j)):
                 parent[x] = y
-                edges.append((int(everything[a + i]), int(everything[shift + j])))
+                edges.append((a + i, shift + j))
     return edges
 
 
 def _tile_edges(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by mask, key, tile: a tile's rows come together, side 0 before side 1."""
-        held: list[tuple[int, int]] = []
-        last = None
+        """Rows sorted by block, key, tile: a tile's rows come together, side 0 before side 1."""
+        sides, fps, nodes, last = [], [], [], None
         out: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(held) < 2:
+            if len(fps) < 2:
                 return
-            if len(held) == 2 and held[0][0] == held[1][0]:
-                if (held[0][1] ^ held[1][1]).bit_count() <= radius:
-                    out.append((held[0][1], held[1][1]))
+            if len(fps) == 2 and sides[0] == sides[1]:
+                if (fps[0] ^ fps[1]).bit_count() <= radius:
+                    out.append((nodes[0], nodes[1]))
                 return
-            one = np.array([f for s, f in held if s == 0], np.uint64)
-            two = np.array([f for s, f in held if s == 1], np.uint64)
+            cut, values = sides.count(0), np.array(fps, np.uint64)
             if last[2] == last[3]:
-                out.extend(_forest(one, None, radius))
-            elif len(one) and len(two):
-                out.extend(_forest(one, two, radius))
+                found = _forest(values, None, radius)
+            else:
+                found = _forest(values[:cut], values[cut:], radius) if 0 < cut < len(fps) else []
+            out.extend((nodes[i], nodes[j]) for i, j in found)
 
         def batch() -> pa.RecordBatch:
-            a, b = np.array(out, np.uint64).reshape(-1, 2).view(np.int64).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
 
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in range(5)]
-            fps = b.column(5).to_numpy().view(np.uint64).tolist()
-            for *tile, side, fp in zip(*columns, fps, strict=True):
+            tiles = zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+            for tile, side, fp, node in zip(tiles, b.column(4).to_pylist(), b.column(5).to_numpy().view(np.uint64).tolist(), b.column(6).to_pylist(), strict=True):
                 if tile != last:
                     close()
-                    held.clear()
-                    last = tile
-                held.append((side, fp))
+                    sides, fps, nodes, last = [], [], [], tile
+                sides.append(side)
+                fps.append(fp)
+                nodes.append(node)
             if out:
                 yield batch()
                 out.clear()
@@ -149,19 +160,20 @@ def _tile_edges(radius: int):
 
 
 def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """u, v: edges whose components are those of all pairs of ``fp`` values at ``radius`` bits or fewer."""
+    """u, v: edges of which the components are those of all pairs of ``node`` with a segment of ``fps`` at ``radius`` bits
+    or fewer."""
     masks = block_masks(distinct.count(), radius)
-    rows = distinct.select("fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask", "bits"))
-    rows = rows.select(F.col("mask").cast("int").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
-    sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = rows.join(sizes, ["mask", "key"])
-    chunks_of = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    met = met.withColumn("parts", chunks_of).withColumn("own", own)
-    met = met.select("mask", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("mask", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
-    dealt = met.repartition("mask", "key", "a", "b").sortWithinPartitions("mask", "key", "a", "b", "side", "fp")
-    return dealt.transform(arrow, _tile_edges(radius), "u long, v long")
+    values = distinct.select(F.posexplode("fps").alias("segment", "fp"), "node").groupBy("segment", "fp").agg(F.min("node").alias("first"))
+    same = distinct.select(F.posexplode("fps").alias("segment", "fp"), "node").join(values, ["segment", "fp"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    rows = values.select("segment", "fp", "first", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask", "bits"))
+    rows = rows.select((F.col("segment") * len(masks) + F.col("mask")).cast("int").alias("block"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp", "first")
+    sizes = rows.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = rows.join(sizes, ["block", "key"]).withColumn("parts", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = met.select("block", "key", "fp", "first", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = met.select("block", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "fp", "first")
+    dealt = met.repartition("block", "key", "a", "b").sortWithinPartitions("block", "key", "a", "b", "side", "fp")
+    return dealt.transform(arrow, _tile_edges(radius), "u long, v long").union(same)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -194,18 +206,35 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select("v", "v").distinct())
 
 
-def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links) of every row."""
-    rows = written(fingerprints(docs, shingle), "fingerprints")
-    return rows.join(component_of(rows, radius), "fp").select("doc_id", "fp", "component_id")
-
-
-def component_of(rows: DataFrame, radius: int = 3) -> DataFrame:
-    """fp, component_id of each distinct fingerprint of rows with doc_id and fp."""
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def component_of(rows: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """node, component_id (the smallest doc_id reachable) of rows with node, doc_id and fps."""
+    distinct = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")), "distinct")
+    roots = components(links(distinct.select("node", "fps"), radius, tile))
+    rooted = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return rooted.select("node", "root").join(least, "root").select("node", "root", "component_id")
 
 
+def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), component_id of every row."""
+    keyed = docs.select(F.lit(0).cast("long").alias("row_key"), "doc_id", "text")
+    rows = written(fingerprints(keyed, shingle).select("doc_id", "fps", F.col("fps")[0].alias("node")), "fingerprints")
+    return rows.join(component_of(rows, radius), "node").select("doc_id", F.col("node").alias("fp"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, segments: int = 8) -> DataFrame:
+    """``docs`` with one row of each group, the one of the smallest doc_id (null last), with all its columns.
+
+    Fingerprints have ``segments`` x 64 bits here, and rows link if any segment is within ``radius``: texts with a Jaccard
+    similarity of 0.8 or more of their word shingles differ in about a seventh of the bits or fewer, so one segment alone
+    would miss most of those near 0.8. ``docs`` is written once so that its rows have fixed keys."""
+    names = docs.columns
+    of = {n.lower(): f"c{k}" for k, n in enumerate(names)}
+    keyed = written(docs.toDF(*of.values()).withColumn("row_key", F.monotonically_increasing_id()), "near-rows")
+    rows = keyed.select("row_key", F.col(of["doc_id"]).alias("doc_id"), F.col(of["text"]).alias("text"))
+    rows = fingerprints(rows, shingle, segments)
+    # rows of equal fingerprints are one node: the hash only names it, as 64 of the bits would
+    rows = written(rows.withColumn("node", F.xxhash64("fps")), "fingerprints")
+    found = rows.select("row_key", "doc_id", "node").join(component_of(rows, radius), "node")
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias("row_key"))
+    return keyed.join(keep, "row_key", "left_semi").select(*of.values()).toDF(*names)
