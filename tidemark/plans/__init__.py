@@ -1,0 +1,19 @@
+"""Queries over whole tables for the library's operators, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.plans import features
+
+MODULES = (features,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
