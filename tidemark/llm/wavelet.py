@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import encode_documents
+from tidemark.llm.bpe import byte_symbols, encode_documents
 from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, written
 from tidemark.llm.spans import SpanCache
 
@@ -166,10 +166,10 @@ def library_cache(path: str) -> tuple[SpanCache, dict[str, int]]:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        encode = lambda keys: [x.ids for x in library.encode_batch_fast([k.decode("utf-8") for k in keys], add_special_tokens=False)]
+        # the library's own model, on what its byte-level step makes of a pre-token: whole Encoding objects cost thrice as much
+        marks, model = {b: c for c, b in byte_symbols().items()}, library.model
+        encode = lambda keys: [[t.id for t in model.tokenize(k.decode("latin-1").translate(marks))] for k in keys]
         _worker[path] = SpanCache(encode), special
     return _worker[path]
 
@@ -214,7 +214,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min(F.struct("seq", F.col("doc_ids")[0].alias("first"))).alias("lead"))
     ahead = Window.orderBy(F.col("lead.first").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_start"))
-    rows = shards.join(starts, "part").select((F.col("part_start") + F.col("before")).alias("start"), "doc_ids", "lengths", "matrix")
+    # one row for each task that wrote: small, and a shuffle here would move the matrices
+    rows = shards.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("before")).alias("start"), "doc_ids", "lengths", "matrix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
