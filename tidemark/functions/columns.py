@@ -18,6 +18,12 @@ def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     return F.try_divide(as_column(numerator).cast("double"), as_column(denominator).cast("double"))
 
 
+def on_grid(x: Column | str, digits: int) -> Column:
+    """A value on a decimal grid, by a rule without ties at halves, so that sums in any order give one result."""
+    scale = float(10**digits)
+    return F.floor(as_column(x) * scale + 0.4142) / scale
+
+
 def clip(x: Column | str, low: float | Column | None = None, high: float | Column | None = None) -> Column:
     """Bounds that leave null null (greatest and least alone would skip it)."""
     x = as_column(x)

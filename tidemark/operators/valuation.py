@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import normal_cdf
+from tidemark.session import ship
 
 
 def converge_starters(points: Mapping[str, Sequence[float]], starters: Mapping[str, int], flex: Sequence[str], flex_slots: int, most: int = 10) -> dict[str, int]:
@@ -103,6 +104,7 @@ def normalised_tiers(df: DataFrame, group: str, value: str, tie: str, least: int
         rows["final"] += 1
         return rows[[group, "tier", "final"]]
 
+    ship(df.sparkSession)
     kind = df.schema[group].dataType.simpleString()
     final = edges.groupBy(group).applyInPandas(rule, f"`{group}` {kind}, tier int, final long")
     return raw.join(final, [group, "tier"]).drop("tier").withColumnRenamed("final", "tier")
@@ -172,6 +174,7 @@ def optimal_lineups(players: DataFrame, team: str, player: str, group: str, valu
         out = [(rows[team][0], k, rows[player][i], rows[value][i]) for k, i in enumerate(chosen) if i >= 0]
         return pd.DataFrame(out, columns=[team, "slot", player, value])
 
+    ship(players.sparkSession)
     return pool.select(team, player, group, value).groupBy(team).applyInPandas(best, f"`{team}` {types[team]}, slot int, `{player}` {types[player]}, `{value}` double")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import features
+from tidemark.plans import decisions, evaluations, features
 
-MODULES = (features,)
+MODULES = (features, decisions, evaluations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

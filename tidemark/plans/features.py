@@ -9,21 +9,12 @@ from tidemark.functions import columns as C
 from tidemark.operators import evaluation as E
 from tidemark.operators import relational as R
 from tidemark.operators import timeseries as TS
+from tidemark.plans.catalog import Catalog
 from tidemark.plans.frames import GAMES, PLAYS, PW, games, money, plays, player_weeks, table
 
 KEYS, ORDER = ["player", "season"], ["week"]
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+_catalog = Catalog()
+query, QUERIES, SQL = _catalog.query, _catalog.QUERIES, _catalog.SQL
 
 
 def ewm_sql(span: int, value: str = "points") -> str:
@@ -37,17 +28,17 @@ RANKED = PW + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY player, se
 
 @query(f"""WITH {RANKED}, e AS ({ewm_sql(4)}),
 l AS (SELECT r.pos, r.points, lag(e.ewm) OVER (PARTITION BY r.player, r.season ORDER BY r.week) AS predicted FROM ranked r JOIN e USING (player, season, week))
-SELECT pos, count(predicted) AS n, round(avg(abs(predicted - points)), 6) AS mae, round(sqrt(avg((predicted - points) ** 2)), 6) AS rmse, round(avg(predicted - points), 6) AS bias
+SELECT pos, count(predicted) AS n, round(avg(abs(predicted - points)), 4) AS mae, round(sqrt(avg((predicted - points) ** 2)), 4) AS rmse, round(avg(predicted - points), 4) AS bias
 FROM l GROUP BY pos""")
 def lagged_ewm_baseline_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = TS.lagged_ewm(player_weeks(spark, sf_dir), "points", KEYS, ORDER, 4, "predicted")
     n, *rest = E.error_metrics(F.col("points"), F.col("predicted"))
-    return rows.groupBy("pos").agg(n, *rest).select("pos", "n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias")))
+    return rows.groupBy("pos").agg(n, *rest).select("pos", "n", *(F.round(c, 4).alias(c) for c in ("mae", "rmse", "bias")))
 
 
-@query(f"WITH {RANKED} SELECT player, season, week, round(ewm, 6) AS ewm8 FROM ({ewm_sql(8)})")
+@query(f"WITH {RANKED} SELECT player, season, week, floor(ewm * 1000 + 0.4142) / 1000 AS ewm8 FROM ({ewm_sql(8)})")
 def usage_ewm_8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return player_weeks(spark, sf_dir).select("player", "season", "week", F.round(TS.ewm_mean("points", KEYS, ORDER, 8), 6).alias("ewm8"))
+    return player_weeks(spark, sf_dir).select("player", "season", "week", C.on_grid(TS.ewm_mean("points", KEYS, ORDER, 8), 3).alias("ewm8"))
 
 
 @query(f"""WITH {RANKED}, t AS (SELECT team, season, week, sum(touches) AS v FROM pw GROUP BY ALL),
@@ -179,7 +170,7 @@ def vacated_share_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PLAYS}, s AS (SELECT defteam, season, week, list_sort(list(DISTINCT kind || status)) AS units FROM plays GROUP BY ALL)
-SELECT defteam, season, week, len(list_intersect(units, lag(units) OVER (PARTITION BY defteam, season ORDER BY week))) / 4.0 AS continuity FROM s""")
+SELECT defteam, season, week, CASE WHEN lag(units) OVER w IS NOT NULL THEN len(list_intersect(units, lag(units) OVER w)) / 4.0 END AS continuity FROM s WINDOW w AS (PARTITION BY defteam, season ORDER BY week)""")
 def set_overlap_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = plays(spark, sf_dir).groupBy("defteam", "season", "week").agg(F.collect_set(F.concat("kind", "status")).alias("units"))
     before = F.lag("units").over(Window.partitionBy("defteam", "season").orderBy("week"))
@@ -213,10 +204,11 @@ def conditional_zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.counted(plays(spark, sf_dir), ["receiver", "season"], {"inside_10": (kind == "R") & (yards <= 10), "inside_5": (kind == "R") & (yards <= 5), "targets_10": (kind == "A") & (yards <= 10)})
 
 
-@query(f"""WITH {PLAYS}, d AS (SELECT game, min_by(season, play) AS season, min_by(kind, play) AS first_kind, count(*) AS n, sum(yards) AS yards FROM plays GROUP BY ALL)
+@query(f"""WITH {PLAYS}, d AS (SELECT game, min_by(season, (play, defteam, receiver, gain)) AS season, min_by(kind, (play, defteam, receiver, gain)) AS first_kind, count(*) AS n, sum(yards) AS yards FROM plays GROUP BY ALL)
 SELECT season, round(sum(yards) / nullif(sum(n), 0), 6) AS pace, count(*) AS drives FROM d WHERE first_kind = 'N' GROUP BY ALL""")
 def ordered_first_per_drive_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drives = plays(spark, sf_dir).groupBy("game").agg(F.min_by("season", "play").alias("season"), F.min_by("kind", "play").alias("first_kind"), F.count(F.lit(1)).alias("n"), F.sum("yards").alias("yards"))
+    first = F.struct("play", "defteam", "receiver", "gain")
+    drives = plays(spark, sf_dir).groupBy("game").agg(F.min_by("season", first).alias("season"), F.min_by("kind", first).alias("first_kind"), F.count(F.lit(1)).alias("n"), F.sum("yards").alias("yards"))
     return drives.filter("first_kind = 'N'").groupBy("season").agg(F.round(C.ratio(F.sum("yards"), F.sum("n")), 6).alias("pace"), F.count(F.lit(1)).alias("drives"))
 
 

@@ -20,16 +20,16 @@ def money(column: str):
 
 
 def player_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """player, season, week, pos, team, points (order value in thousands), touches (orders)."""
+    """player, season, week, pos, team, points (order value), touches (orders)."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), "o_totalprice")
-    weeks = orders.groupBy("player", "season", "week").agg((money("o_totalprice").cast("double") / 1000).alias("points"), F.count(F.lit(1)).alias("touches"))
+    weeks = orders.groupBy("player", "season", "week").agg(money("o_totalprice").cast("double").alias("points"), F.count(F.lit(1)).alias("touches"))
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player"), F.col("c_mktsegment").alias("pos"), F.col("c_nationkey").alias("team"))
     return weeks.join(people, "player")
 
 
 PW = """pw AS (
   SELECT o_custkey AS player, year(o_orderdate) AS season, month(o_orderdate) AS week, any_value(c_mktsegment) AS pos, any_value(c_nationkey) AS team,
-    sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 1000 AS points, count(*) AS touches
+    sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS points, count(*) AS touches
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""
 
 
@@ -39,13 +39,13 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     homes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("home"))
     return orders.join(homes, "o_custkey").select(
         F.col("o_orderkey").alias("game"), F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), F.col("o_orderdate").alias("kickoff"), "home",
-        F.pmod("o_orderkey", F.lit(25)).cast("int").alias("away"), (F.pmod("o_orderkey", F.lit(29)) - 14).cast("double").alias("line"), (F.col("o_totalprice") / 1000).alias("total"),
+        F.pmod("o_orderkey", F.lit(25)).cast("int").alias("away"), (F.pmod("o_orderkey", F.lit(29)) - 14).cast("double").alias("line"), F.col("o_totalprice").alias("total"),
     )
 
 
 GAMES = """games AS (
   SELECT o_orderkey AS game, year(o_orderdate) AS season, month(o_orderdate) AS week, o_orderdate AS kickoff, c_nationkey AS home,
-    (o_orderkey % 25)::INT AS away, (o_orderkey % 29 - 14)::DOUBLE AS line, o_totalprice / 1000 AS total
+    (o_orderkey % 25)::INT AS away, (o_orderkey % 29 - 14)::DOUBLE AS line, o_totalprice AS total
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
