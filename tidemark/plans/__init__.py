@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import decisions, evaluations, features
+from tidemark.plans import decisions, evaluations, features, systems
 
-MODULES = (features, decisions, evaluations)
+MODULES = (features, decisions, evaluations, systems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
