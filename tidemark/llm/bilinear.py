@@ -10,11 +10,12 @@ trained on grows with the corpus. Each partition trains from common parameters a
 by their positions: a short round from the start, then a round over everything.
 
 Counts are exact and cover all training documents. The words most frequent are broadcast (``KNOWN`` at most); counts of
-the others reach documents by a join on the word, never by a broadcast.
+the others reach documents by a join on the word, never by a broadcast. Texts are read twice, to count words and to write
+each document's classes; training and scoring read the classes.
 
 Cases: null and empty texts are one end token; a null doc_id counts as the empty text for the split; ties of frequency go
 by the word's bytes; repeated rows count each and score alike; without training documents every token is unknown and the
-model is uniform; an empty table gives no row; texts of any length are whole; other columns pass by unread.
+model stays as it starts; an empty table gives no row; texts of any length are whole; other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -65,27 +66,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (bytes), c over all training documents, the null word counting their ends. Tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes | None, int] = {}
+        cache, counts, ends = SpanCache(lambda keys: [()] * len(keys), entries=1 << 21), np.zeros(0, np.int64), 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            slots, words = cache.spelled()
+            return pa.RecordBatch.from_arrays([words, pa.array(counts[slots])], names=["word", "c"])
 
         for b in chunks(batches):
             b = b.filter(pa.array([is_training(d) for d in b.column(0).to_pylist()], pa.bool_()))
             if not b.num_rows:
                 continue
             raw, offsets = _lowered(b.column(1))
-            starts, ends, _ = word_spans(raw, offsets)
-            cache = SpanCache(lambda keys: [()] * len(keys), entries=1 << 17)
-            cache.lookup(raw, starts, ends)
-            for word, n in cache.counted(raw, starts, ends, len(starts)):
-                counts[word] = counts.get(word, 0) + n
-            counts[None] = counts.get(None, 0) + b.num_rows
-            if len(counts) > 200_000:
+            starts, ends_at, _ = word_spans(raw, offsets)
+            cache.lookup(raw, starts, ends_at)
+            if len(starts):
+                more = np.bincount(cache.slots, minlength=cache.n)
+                more[: len(counts)] += counts
+                counts = more
+            ends += b.num_rows
+            if cache.n > 400_000:
                 yield out()
-                counts.clear()
-        if counts:
+                cache._clear()
+                counts = np.zeros(0, np.int64)
+        if len(counts):
             yield out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"])
 
     return _rows(docs).transform(arrow, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -102,6 +108,19 @@ class Vocabulary:
     tail_mass: np.ndarray  # counts + types + 1 of each class that shares
 
 
+def frequent_from(words: DataFrame, most: int) -> int:
+    """The least count from which on there are at most ``most`` words, to a sixteenth of an octave: a histogram of counts
+    finds it, so only the words themselves reach the driver."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    total, level = 0, None
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():
+        total += r.n
+        if total > most:
+            break
+        level = r.c
+    return 1 << 62 if level is None else level
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,7 +128,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array([tail_class(w) for w in words], pa.int32()), b.column(1)], names=["kind", "c"])
 
     words = counts.filter("word is not null")
-    top = [(bytes(r.word), r.c) for r in words.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
+    level = frequent_from(words, KNOWN)
+    top = sorted(((bytes(r.word), r.c) for r in words.filter(F.col("c") >= level).collect()), key=lambda x: (-x[1], x[0]))
     masses = {r.kind: (r.c, r.v) for r in words.transform(arrow, run, "kind int, c long").groupBy("kind").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
     total = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word").isNull(), F.col("c")))).first()
     mass = np.zeros(CLASSES)
@@ -146,15 +166,15 @@ class Classes:
         return classes, counts, bounds, starts, ends, place
 
 
-def contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The CONTEXT classes before each token, nearest first; PAD before a document's start."""
-    n = len(classes)
-    out = np.full((n, CONTEXT), PAD, np.int32)
-    doc_start = np.repeat(bounds[:-1], np.diff(bounds))
-    place = np.arange(n)
+def contexts(classes: np.ndarray, bounds: np.ndarray, first: int = 0, every: int = 1) -> np.ndarray:
+    """The CONTEXT classes before each token (before one in ``every`` from ``first`` on), nearest first; PAD before a
+    document's start."""
+    place = np.arange(first, len(classes), every)
+    start = np.repeat(bounds[:-1], np.diff(bounds))[first::every]
+    out = np.empty((len(place), CONTEXT), np.int32)
     for k in range(CONTEXT):
-        ok = place - k - 1 >= doc_start
-        out[ok, k] = classes[place[ok] - k - 1]
+        at = place - k - 1
+        out[:, k] = np.where(at >= start, classes[np.maximum(at, 0)], PAD)
     return out
 
 
@@ -187,15 +207,21 @@ class LogBilinear:
             out += self.R[context[:, k]] * self.C[k]
         return out
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of each target class's normalised probability, by batches of matrix products."""
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, rows: int = 512) -> np.ndarray:
+        """Natural log of each target class's normalised probability, by matrix products of batches that fit the cache."""
         out = np.empty(len(target))
-        for a in range(0, len(target), 4096):
-            logits = self.predicted(context[a : a + 4096]) @ self.Q.T + self.b
-            logits -= logits.max(1, keepdims=True)
-            own = logits[np.arange(len(logits)), target[a : a + 4096]]
+        table = np.concatenate([self.Q, self.b[:, None]], 1).T.copy()
+        ones, buffer = np.ones(CLASSES, np.float32), np.ones((rows, WIDTH + 1), np.float32)
+        place = np.arange(rows)
+        for a in range(0, len(target), rows):
+            n = min(rows, len(target) - a)
+            buffer[:n, :WIDTH] = self.predicted(context[a : a + n])
+            logits = buffer[:n] @ table
+            if logits.max() > 60 or logits.min() < -60:  # else sums of exponentials are safe as they are
+                logits -= logits.max(1, keepdims=True)
+            own = logits[place[:n], target[a : a + n]].astype(np.float64)
             np.exp(logits, out=logits)
-            out[a : a + 4096] = own - np.log(logits.sum(1, dtype=np.float64))
+            out[a : a + n] = own - np.log((logits @ ones).astype(np.float64))
         return out
 
 
@@ -242,25 +268,64 @@ def _classes_of(vocab) -> Classes:
     return _worker["classes"]
 
 
-def train(docs: DataFrame, vocab, most: int | None, start: np.ndarray | None) -> np.ndarray:
-    """Parameters after a round over the partitions, each of ``most`` minibatches or all. vocab: a broadcast."""
+def classified(docs: DataFrame, vocab) -> DataFrame:
+    """What later passes read of each document: row_key, doc_id, held_out, classes (16-bit), n_known and base (log10) over
+    the known words, share (log10 of the known words' shares of their classes, less the classes' masses), and its rare
+    words with their numbers."""
+    types = "row_key long, doc_id long, held_out boolean, classes binary, n_known long, base double, share double, rare array<struct<word:binary,n:int>>"
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+    names = ["row_key", "doc_id", "held_out", "classes", "n_known", "base", "share", "rare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocab.value
+        classes_of, key = _classes_of(v), TaskContext.get().partitionId() << 36
+        log_mass, log_all = np.log10(v.tail_mass), math.log10(v.tokens + v.types + 1)
+        for b in chunks(batches):
+            raw, offsets = _lowered(b.column(1))
+            classes, seen, bounds, starts, ends, place = classes_of(raw, offsets)
+            log_share = np.log10(np.maximum(seen, 0) + 1)
+            share = np.where(classes > END, log_share - log_mass[classes], 0.0)
+            rare = np.flatnonzero(seen[place] < 0) if len(place) else np.zeros(0, np.int64)
+            docs_of = np.searchsorted(bounds, place[rare], "right") - 1 if len(rare) else rare
+            data = raw.tobytes()
+            found: list[dict[bytes, int]] = [{} for _ in range(b.num_rows)]
+            for d, x, y in zip(docs_of.tolist(), starts[rare].tolist(), ends[rare].tolist(), strict=True):
+                word, own = data[x:y], found[d]
+                own[word] = own.get(word, 0) + 1
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32()),
+                pa.StructArray.from_arrays([pa.array([w for f in found for w in f], pa.binary()), pa.array([n for f in found for n in f.values()], pa.int32())], names=["word", "n"]),
+            )
+            packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(classes.astype("<u2"))])
+            sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731  every document has its end token
+            columns = [key + np.arange(b.num_rows), b.column(0), [not is_training(d) for d in b.column(0).to_pylist()], packed, sums((seen > 0).astype(np.int64)), sums(log_share) - np.diff(bounds) * log_all, sums(share), lists.cast(rare_type)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+            key += b.num_rows
+
+    return written(_rows(docs).transform(arrow, run, types), "classes")
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, offsets = text_buffer(column)
+    return raw.view("<u2").astype(np.int32), offsets // 2
+
+
+def train(rows: DataFrame, vocab, most: int | None, start: np.ndarray | None) -> np.ndarray:
+    """Parameters after a round over the partitions of rows with held_out and classes, each of ``most`` minibatches or all.
+    vocab: a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         model = LogBilinear(v.unigram)
         if start is not None:
             model.load(start)
-        trainer, classes_of, steps, shift = Trainer(model, v.unigram, TaskContext.get().partitionId()), _classes_of(v), 0, 0
+        trainer, steps, shift = Trainer(model, v.unigram, TaskContext.get().partitionId()), 0, 0
         rest = [np.zeros((0, CONTEXT), np.int32), np.zeros(0, np.int32)]
-        for b in chunks(batches):
+        for b in chunks(batches, "classes"):
             if most is not None and steps >= most:
                 continue
-            b = b.filter(pa.array([is_training(d) for d in b.column(0).to_pylist()], pa.bool_()))
-            if not b.num_rows:
-                continue
-            classes, _, bounds, *_ = classes_of(*_lowered(b.column(1)))
-            context = contexts(classes, bounds)[shift % EVERY :: EVERY]
-            target = classes[shift % EVERY :: EVERY]
+            classes, bounds = _unpacked(b.column(0))
+            context, target = contexts(classes, bounds, shift % EVERY, EVERY), classes[shift % EVERY :: EVERY]
             shift += 1
             order = trainer.rng.permutation(len(target))
             context, target = np.concatenate([rest[0], context[order]]), np.concatenate([rest[1], target[order]])
@@ -283,7 +348,7 @@ def train(docs: DataFrame, vocab, most: int | None, start: np.ndarray | None) ->
         if seen:
             yield _blob(total, seen)
 
-    parts = _rows(docs).transform(arrow, run, "sums binary, seen long")
+    parts = rows.filter("not held_out").select("classes").transform(arrow, run, "sums binary, seen long")
     found = parts.repartition(16).transform(arrow, add, "sums binary, seen long").collect()
     if not found:
         return LogBilinear(vocab.value.unigram).flat() if start is None else start
@@ -298,46 +363,22 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     counts = written(word_counts(docs), "word-counts")
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(counts))
-    parameters = train(docs, vocab, None, train(docs, vocab, WARM, None))
-    types = "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>"
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+    rows = classified(docs, vocab)
+    parameters = train(rows, vocab, None, train(rows, vocab, WARM, None))
+    names = ["row_key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
-        model, classes_of = LogBilinear(v.unigram).load(parameters), _classes_of(v)
-        key = TaskContext.get().partitionId() << 36
-        log_mass = np.log10(v.tail_mass)
-        log_all = math.log10(v.tokens + v.types + 1)
-        for b in chunks(batches):
-            raw, offsets = _lowered(b.column(1))
-            classes, seen, bounds, starts, ends, place = classes_of(raw, offsets)
-            log_share = np.log10(np.maximum(seen, 0) + 1)
-            mine = model.log_probabilities(contexts(classes, bounds), classes) / math.log(10) - log_mass[classes]
-            mine += np.where(classes > END, log_share, 0.0)
-            known = np.add.reduceat((seen > 0).astype(np.int64), bounds[:-1])
-            base = np.add.reduceat(log_share, bounds[:-1]) - np.diff(bounds) * log_all
-            rare = np.flatnonzero(seen[place] < 0) if len(place) else np.zeros(0, np.int64)
-            docs_of = np.searchsorted(bounds, place[rare], "right") - 1 if len(rare) else rare
-            data = raw.tobytes()
-            found: list[dict[bytes, int]] = [{} for _ in range(b.num_rows)]
-            for d, x, y in zip(docs_of.tolist(), starts[rare].tolist(), ends[rare].tolist(), strict=True):
-                word = data[x:y]
-                found[d][word] = found[d].get(word, 0) + 1
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32()),
-                pa.StructArray.from_arrays([pa.array([w for f in found for w in f], pa.binary()), pa.array([n for f in found for n in f.values()], pa.int32())], names=["word", "n"]),
-            )
-            ids = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key + np.arange(b.num_rows)), b.column(0), pa.array([not is_training(d) for d in ids], pa.bool_()), pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(np.add.reduceat(mine, bounds[:-1])), lists.cast(rare_type)],
-                names=["row_key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-            )
-            key += b.num_rows
-
-    scored = written(_rows(docs).transform(arrow, run, types), "scored")
-    rare = scored.select("row_key", F.inline("rare")).join(counts.filter("word is not null"), "word")
+        model = LogBilinear(vocab.value.unigram).load(parameters)
+        for b in chunks(batches, "classes"):
+            classes, bounds = _unpacked(b.column(3))
+            own = model.log_probabilities(contexts(classes, bounds), classes) / math.log(10)
+            total = np.add.reduceat(own, bounds[:-1]) + b.column(6).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(bounds)), b.column(4), b.column(5), pa.array(total)], names=names)
+
+    scored = rows.drop("rare").transform(arrow, run, "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rare = rows.select("row_key", F.inline("rare")).join(counts.filter("word is not null"), "word")
     more = rare.groupBy("row_key").agg(F.sum("n").alias("also_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_share"))
-    both = scored.drop("rare").join(more, "row_key", "left").fillna({"also_known": 0, "log_share": 0.0})
+    both = scored.join(more, "row_key", "left").fillna({"also_known": 0, "log_share": 0.0})
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("also_known")).alias("n_known"), F.lit(vocab.value.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("log_share")).alias("base_score"), (F.col("score") + F.col("log_share")).alias("score"),

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from tidemark.llm.common import ragged
 
@@ -267,6 +268,16 @@ class SpanCache:
         top = top[counts[top] > 0]
         return [(raw[starts[i] : ends[i]].tobytes(), int(n)) for i, n in zip(shown[top].tolist(), counts[top].tolist(), strict=True)]
 
+    def spelled(self) -> tuple[np.ndarray, pa.Array]:
+        """All keys as bytes, and their slots."""
+        long = {s: k for k, s in self.long.items()}
+        short = np.flatnonzero(self.size[: self.n] <= 16)
+        pairs = np.stack([self.one[short], self.two[short]], 1).astype("<u8").view(np.uint8).reshape(-1, 16)
+        flat = pairs[np.arange(16) < self.size[short, None]]
+        offsets = np.concatenate([[0], np.cumsum(self.size[short])]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(short), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        return np.concatenate([short, np.array(list(long), np.int64)]), pa.concat_arrays([words, pa.array(list(long.values()), pa.binary())])
+
     def ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values one after another, and each span's length."""
         first, lengths = self.lookup(raw, starts, ends)
