@@ -14,6 +14,7 @@ from tidemark.functions import columns as C
 from tidemark.functions import scoring as S
 from tidemark.operators import adjustments as A
 from tidemark.operators import consensus as K
+from tidemark.operators import decisions as W
 from tidemark.operators import evaluation as E
 from tidemark.operators import identity as I
 from tidemark.operators import models as M
@@ -64,7 +65,7 @@ def test_local_time_that_does_not_exist_or_exists_twice(spark):
 def test_ewm_against_the_definition(spark):
     rows = [("a", k, float(k * k % 7) if k != 3 else None) for k in range(8)] + [("b", 0, 5.0)]
     df = spark.createDataFrame(rows, "e string, t int, x double")
-    got = {(r.e, r.t): r.m for r in df.withColumn("m", TS.ewm_mean("x", ["e"], ["t"], 3)).collect()}
+    got = {(r.e, r.t): r.m for r in TS.with_ewm(df, {"m": ("x", 3)}, ["e"], ["t"]).collect()}
     for e, t, x in rows:
         past = [(tt, xx) for ee, tt, xx in rows if ee == e and tt <= t and xx is not None]
         want = sum(xx * 0.5 ** (t - tt) for tt, xx in past) / sum(0.5 ** (t - tt) for tt, _ in past)
@@ -287,3 +288,39 @@ def test_streams(spark, data, tmp_path):
     assert first.count() == events.count()
     counts = stateful.drained(stateful.windowed_counts(stream, "ts", ["event_type"], "1 day", "0 seconds"), f"{tmp_path}/w", f"{tmp_path}/c3")
     assert counts.count() > 0
+
+
+SLOTS = [["A"], ["B"], ["A", "B"]]
+
+
+def test_lineup_regret(spark):
+    rows = [("t", "A", 10.0, 1.0), ("t", "A", 5.0, 9.0), ("t", "A", 4.0, 8.0), ("t", "B", 3.0, 3.0)]
+    got = W.lineup_regret(spark.createDataFrame(rows, "team string, g string, actual double, predicted double"), ["team"], "g", "actual", "predicted", SLOTS).first()
+    assert (got.best, got.chosen, got.regret) == (18.0, 12.0, 6.0)
+
+
+def test_candidate_gains_and_bids(spark):
+    rosters = spark.createDataFrame([(r, f"{r}{k}", g, v) for r, values in ((1, (("A", 10.0), ("B", 8.0), ("A", 2.0), ("B", 1.0))), (2, (("A", 9.0), ("B", 9.0), ("A", 8.0)))) for k, (g, v) in enumerate(values)], "roster int, player string, g string, v double")
+    candidates = spark.createDataFrame([("x", "A", 6.0), ("y", "B", 1.5)], "player string, g string, v double")
+    gains = W.candidate_gains(rosters, candidates, "roster", "player", "g", "v", SLOTS)
+    got = {(r.roster, r.player): (r.baseline, r.lineup_gain, round(r.depth_gain, 6), r.drop_player) for r in gains.collect()}
+    assert got[1, "x"] == (20.0, 4.0, 0.0, "13") and got[1, "y"] == (20.0, 0.0, 0.075, "13") and got[2, "x"] == (26.0, 0.0, 0.0, None)
+    board = W.bid_board(gains, spark.createDataFrame([(1, 100), (2, 7)], "roster int, budget int"), "roster", "player", 1, weeks_left=5)
+    x = {r.player: r for r in board.collect()}["x"]
+    assert x.max_bid == 98 and x.rivals == 0 and x.lock_bid == 1 and x.recommended_bid == 1
+
+
+def test_legal_swaps():
+    groups = {"a1": "A", "b1": "B", "a2": "A", "b2": "B", "k": "K", "a3": "A"}
+    assert W.legal_swaps(["b2"], ["b1", "a1"], {k: groups[k] for k in ("a1", "b1", "a2", "b2", "k")}, SLOTS) == [("b2", "b1")]
+    assert W.legal_swaps(["a3"], ["b1", "a2"], {k: groups[k] for k in ("a1", "b1", "a2", "a3")}, SLOTS) == [("a3", "a2")]
+    assert W.legal_swaps(["a3"], [], {k: groups[k] for k in ("a1", "b1", "a3")}, SLOTS) == [("a3", None)]
+
+
+def test_start_sit_prefers_the_better_player(spark):
+    q = lambda m: [m - 4, m - 2, m, m + 2, m + 4]
+    rows = [("m", s, f"{s}{k}", f"t{s}{k}", g, float(m), q(float(m))) for s in (0, 1) for k, (g, m) in enumerate((("A", 10), ("B", 10), ("A", 9), ("B", 5)))]
+    df = spark.createDataFrame(rows, "matchup string, side int, player string, team string, g string, mean double, q array<double>")
+    got = W.start_sit(df, "matchup", "side", "player", "team", "g", "mean", "q", [0.1, 0.25, 0.5, 0.75, 0.9], SLOTS, lambda a, b, same: 0.0).collect()
+    assert [(r.sit, r.start) for r in got] == [(None, None), ("02", "03")]
+    assert got[0].p_win == pytest.approx(0.5, abs=0.05) and got[1].delta_points == -4 and got[1].delta_p_win < -0.1

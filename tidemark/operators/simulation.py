@@ -61,6 +61,12 @@ def _cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
 
 
+def gaussian_scores(rng: np.random.Generator, matrix: np.ndarray, quantiles: Sequence[Sequence[float]], alphas: Sequence[float], n: int) -> np.ndarray:
+    """n draws of correlated players by a Gaussian copula and their own marginals."""
+    u = _cdf(rng.standard_normal((n, len(quantiles))) @ np.linalg.cholesky(matrix).T)
+    return np.stack([inverse_marginal(u[:, k], alphas, q) for k, q in enumerate(quantiles)], 1)
+
+
 def slate_draws(players: DataFrame, slate: str, player: str, team: str, group: str, quantiles: str, alphas: Sequence[float], rule: Callable[[object, object, bool], float], n: int = 1000, seed: int = 0) -> DataFrame:
     """Gaussian copula draws of each slate's players: slate, player, mean, sd, and its chance of the slate's top score.
 
@@ -73,9 +79,7 @@ def slate_draws(players: DataFrame, slate: str, player: str, team: str, group: s
         key = int(pd.util.hash_array(np.array([str(rows[slate][0])], dtype=object))[0])
         rng = np.random.default_rng([seed, key])
         matrix = nearest_positive_definite(correlation_matrix(rows[team].tolist(), rows[group].tolist(), rule))
-        z = rng.standard_normal((n, len(rows))) @ np.linalg.cholesky(matrix).T
-        u = _cdf(z)
-        points = np.stack([inverse_marginal(u[:, k], alphas, rows[quantiles][k]) for k in range(len(rows))], 1)
+        points = gaussian_scores(rng, matrix, rows[quantiles].tolist(), alphas, n)
         top = np.bincount(points.argmax(1), minlength=len(rows)) / n
         return pd.DataFrame({slate: rows[slate], player: rows[player], "mean": points.mean(0), "sd": points.std(0), "p_top": top})
 

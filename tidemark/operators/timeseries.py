@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,36 +13,32 @@ def ordered(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def ewm_mean(value: Column | str, keys: Sequence[str], order: Sequence[str], span: float) -> Column:
-    """Exponentially weighted mean with normalised weights, alpha = 2 / (span + 1), up to and including the row.
+def with_ewm(df: DataFrame, columns: Mapping[str, tuple[str, float]], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Exponentially weighted means (out: value, span) with normalised weights, alpha = 2 / (span + 1), up to and including
+    the row.
 
-    It is the quotient of two running sums of weights that grow by 1 / (1 - alpha) from row to row, so one sort serves any
-    number of them. Nulls get no weight but still age the rows before them; the result is null at a null. A partition may
-    have as many rows as keep the weights finite (about 1,300 at span 4): more raise an error.
+    Each is the quotient of two running sums of weights that grow by 1 / (1 - alpha) from row to row, so all of them share
+    one sort and one window. Nulls get no weight but still age the rows before them; the result is null at a null. A
+    partition may have as many rows as keep the weights finite (about 1,300 at span 4): more raise an error.
     """
-    value = F.col(value) if isinstance(value, str) else value
     w = ordered(keys, order)
-    decay = 1 - 2.0 / (span + 1)
-    age = F.row_number().over(w)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    limit = int(690 / -_log(decay)) if decay > 0 else 1 << 30
-    weight = F.pow(F.lit(1 / decay) if decay > 0 else F.lit(1e300), age.cast("double"))
-    num = F.sum(F.when(value.isNotNull(), value * weight)).over(running)
-    den = F.sum(F.when(value.isNotNull(), weight)).over(running)
-    mean = F.when(value.isNotNull(), num / den)
-    return F.when(age <= limit, mean).otherwise(F.raise_error(F.lit(f"ewm_mean: more than {limit} rows in a partition")).cast("double"))
-
-
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
+    decays = {out: 1 - 2.0 / (span + 1) for out, (_, span) in columns.items()}
+    most = min((int(690 / -math.log(d)) for d in decays.values() if d > 0), default=1)
+    age = F.when(F.col("__age") <= most, F.col("__age")).otherwise(F.raise_error(F.lit(f"ewm: more than {most} rows in a partition")).cast("int"))
+    rows = df.withColumn("__age", F.row_number().over(w)).withColumn("__age", age)
+    sums = {}
+    for k, (out, (value, _)) in enumerate(columns.items()):
+        weight = F.when(F.col(value).isNotNull(), F.pow(F.lit(1 / max(decays[out], 1e-9)), F.col("__age").cast("double")))
+        sums |= {f"__num_{k}": F.sum(F.col(value) * weight).over(running), f"__den_{k}": F.sum(weight).over(running)}
+    rows = rows.withColumns(sums)
+    means = {out: F.when(F.col(value).isNotNull(), F.col(f"__num_{k}") / F.col(f"__den_{k}")) for k, (out, (value, _)) in enumerate(columns.items())}
+    return rows.withColumns(means).drop("__age", *sums)
 
 
 def lagged_ewm(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], span: float, out: str) -> DataFrame:
     """The exponentially weighted mean of the rows before."""
-    helper = f"__{out}"
-    return df.withColumn(helper, ewm_mean(value, keys, order, span)).withColumn(out, F.lag(helper).over(ordered(keys, order))).drop(helper)
+    return with_ewm(df, {out: (value, span)}, keys, order).withColumn(out, F.lag(out).over(ordered(keys, order)))
 
 
 def expanding_mean(value: Column | str, keys: Sequence[str], order: Sequence[str], lag: int = 1) -> Column:

@@ -38,7 +38,8 @@ def lagged_ewm_baseline_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RANKED} SELECT player, season, week, floor(ewm * 1000 + 0.4142) / 1000 AS ewm8 FROM ({ewm_sql(8)})")
 def usage_ewm_8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return player_weeks(spark, sf_dir).select("player", "season", "week", C.on_grid(TS.ewm_mean("points", KEYS, ORDER, 8), 3).alias("ewm8"))
+    rows = TS.with_ewm(player_weeks(spark, sf_dir), {"ewm8": ("points", 8)}, KEYS, ORDER)
+    return rows.select("player", "season", "week", C.on_grid("ewm8", 3).alias("ewm8"))
 
 
 @query(f"""WITH {RANKED}, t AS (SELECT team, season, week, sum(touches) AS v FROM pw GROUP BY ALL),
