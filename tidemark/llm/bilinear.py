@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, written
+from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, worker_state, written
 from tidemark.llm.spans import SpanCache
 from tidemark.llm.words import LOWER, word_spans
 
@@ -42,7 +42,6 @@ EVERY, BATCH, NOISE, RATE = 4, 1024, 48, 0.15
 WARM = 60
 END, PAD = HEAD, HEAD + 1 + TAIL
 CLASSES = HEAD + 1 + TAIL
-_worker: dict = {}
 
 
 def is_training(doc_id) -> bool:
@@ -263,9 +262,7 @@ class Trainer:
 
 
 def _classes_of(vocab) -> Classes:
-    if _worker.get("vocab") is not vocab:
-        _worker["vocab"], _worker["classes"] = vocab, Classes(vocab)
-    return _worker["classes"]
+    return worker_state(("classes", id(vocab)), lambda: Classes(vocab))
 
 
 def classified(docs: DataFrame, vocab) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, ragged, text_buffer, whole_text
+from tidemark.llm.common import arrow, chunks, ragged, text_buffer, whole_text, worker_state
 from tidemark.llm.spans import SpanCache, gpt_spans
 
 #: No pair to merge.
@@ -224,15 +224,14 @@ def encode_documents(cache: SpanCache, special: dict[str, int], raw: np.ndarray,
     return ids, at[span_of_part[first]]
 
 
-_worker: dict = {}
-
-
 def tokenizer(path: str) -> tuple[SegmentTreeBpe, SpanCache]:
     """This worker's tables and cache."""
-    if ("tree", path) not in _worker:
+
+    def make() -> tuple[SegmentTreeBpe, SpanCache]:
         model = SegmentTreeBpe(path)
-        _worker["tree", path] = model, SpanCache(model.encode_pieces)
-    return _worker["tree", path]
+        return model, SpanCache(model.encode_pieces, entries=400_000)
+
+    return worker_state(("segment tree", path), make)
 
 
 def encode_column(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +20,10 @@ from tidemark.session import ship
 #: White space of every word rule here: blank and the controls 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker handles at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at once, where the session has not set its own.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +41,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_held: dict = {}
+
+
+def worker_state(key, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: tables and caches of one operator at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _tidied(run):
+    """``run``, giving freed memory back to the system at the end of a task: workers wait for the next one beside a heap."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` on workers that have this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` on workers that have this package, by batches of a few megabytes: with Spark's own limit of 64 MB long
+    texts fill the memory beside an executor's heap."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_ARROW, "64MB") in ("67108864b", "64MB"):
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+    return df.mapInArrow(_tidied(run), schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:

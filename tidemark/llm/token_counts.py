@@ -21,19 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, text_buffer, whole_text
+from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, worker_state
 from tidemark.llm.spans import SpanCache, space_spans
 
 MARK = "▁"
-_worker: dict = {}
+_models: dict = {}
 
 
 def processor(path: str):
-    if path not in _worker:
+    """The library's model, small enough to stay."""
+    if path not in _models:
         import sentencepiece
 
-        _worker[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _worker[path]
+        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _models[path]
 
 
 def check_model(path: str) -> None:
@@ -104,9 +105,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, frequent: int =
             found = dict(zip(rare, _lengths(model, rare), strict=True))
             return [(known[k] if k in known else found[k],) for k in keys]
 
-        if ("cache", path) not in _worker:
-            _worker["cache", path] = SpanCache(encode)
-        cache = _worker["cache", path]
+        cache = worker_state(("lengths", path), lambda: SpanCache(encode))
         cache.encode = encode
         for b in chunks(batches):
             _, plain = text_buffer(b.column(1))

@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_symbols, encode_documents
-from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, written
+from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, worker_state, written
 from tidemark.llm.spans import SpanCache
 
 MAGIC = b"WVM1"
 #: A shard is closed once it holds this many ids.
 SHARD_IDS = 1 << 20
 BLOCK = 512
-_worker: dict = {}
 
 
 class WaveletMatrix:
@@ -159,19 +158,20 @@ class WaveletMatrix:
 
 def library_cache(path: str) -> tuple[SpanCache, dict[str, int]]:
     """This worker's cache of the tokenizers library's ids of pre-tokens."""
-    if path not in _worker:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        # the library's own model, on what its byte-level step makes of a pre-token: whole Encoding objects cost thrice as much
-        marks, model = {b: c for c, b in byte_symbols().items()}, library.model
-        encode = lambda keys: [[t.id for t in model.tokenize(k.decode("latin-1").translate(marks))] for k in keys]
-        _worker[path] = SpanCache(encode), special
-    return _worker[path]
+    return worker_state(("library", path), lambda: _library(path))
+
+
+def _library(path: str) -> tuple[SpanCache, dict[str, int]]:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    # the library's own model, on what its byte-level step makes of a pre-token: whole Encoding objects cost thrice as much
+    marks, model = {b: c for c, b in byte_symbols().items()}, library.model
+    return SpanCache(lambda keys: [[t.id for t in model.tokenize(k.decode("latin-1").translate(marks))] for k in keys]), special
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, levels: int = 16, shard_ids: int = SHARD_IDS) -> DataFrame:
