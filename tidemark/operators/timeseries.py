@@ -125,12 +125,18 @@ def weeks_since(flag: Column, keys: Sequence[str], period: str, default: int = 9
     return F.coalesce(F.col(period) - F.last(F.when(flag, F.col(period)), ignorenulls=True).over(w), F.lit(default))
 
 
-def pooled_prior_mean(df: DataFrame, group: str, season: str, period: str, value: Column | str, out: str) -> DataFrame:
-    """A group's mean over all rows of earlier periods of the season; before the first, its mean over the season before."""
-    value = F.col(value) if isinstance(value, str) else value
-    sums = df.groupBy(group, season, period).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+def pooled_prior_means(df: DataFrame, group: str, season: str, period: str, values: Mapping[str, Column | str]) -> DataFrame:
+    """A group's means (out: value) over all rows of earlier periods of the season; before the first, over the season
+    before. All values share one aggregation, to a row for each group and period."""
+    values = {out: F.col(v) if isinstance(v, str) else v for out, v in values.items()}
+    sums = df.groupBy(group, season, period).agg(*(x for k, v in enumerate(values.values()) for x in (F.sum(v).alias(f"__s{k}"), F.count(v).alias(f"__n{k}"))))
     past = ordered([group, season], [period]).rowsBetween(Window.unboundedPreceding, -1)
-    running = sums.withColumn("__mean", F.try_divide(F.sum("__s").over(past), F.sum("__n").over(past)))
-    whole = df.groupBy(group, season).agg(F.avg(value).alias("__before")).withColumn(season, F.col(season) + 1)
-    table = running.join(whole, [group, season], "left").select(group, season, period, F.coalesce("__mean", "__before").alias(out))
+    every = range(len(values))
+    whole = sums.groupBy(group, season).agg(*(F.try_divide(F.sum(f"__s{k}"), F.sum(f"__n{k}")).alias(f"__w{k}") for k in every)).withColumn(season, F.col(season) + 1)
+    running = sums.select(group, season, period, *(F.try_divide(F.sum(f"__s{k}").over(past), F.sum(f"__n{k}").over(past)).alias(f"__m{k}") for k in every))
+    table = running.join(whole, [group, season], "left").select(group, season, period, *(F.coalesce(f"__m{k}", f"__w{k}").alias(out) for k, out in enumerate(values)))
     return df.join(table, [group, season, period], "left")
+
+
+def pooled_prior_mean(df: DataFrame, group: str, season: str, period: str, value: Column | str, out: str) -> DataFrame:
+    return pooled_prior_means(df, group, season, period, {out: value})

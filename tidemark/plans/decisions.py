@@ -33,7 +33,7 @@ def linear_scoring_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("defteam", "season").agg(F.round(F.sum(points), 2).alias("points"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 0 AND 50000 THEN 5.0 WHEN o_totalprice BETWEEN 50000.01 AND 150000 THEN 2.0 ELSE 0.0 END + CASE WHEN o_totalprice >= 300000 THEN 3.0 ELSE 0.0 END AS bonus FROM orders""")
+@query("""SELECT o_orderkey, (CASE WHEN o_totalprice BETWEEN 0 AND 50000 THEN 5.0 WHEN o_totalprice BETWEEN 50000.01 AND 150000 THEN 2.0 ELSE 0.0 END + CASE WHEN o_totalprice >= 300000 THEN 3.0 ELSE 0.0 END)::DOUBLE AS bonus FROM orders""")
 def bucket_and_threshold_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"low": S.between("o_totalprice", 0, 50_000), "mid": S.between("o_totalprice", 50_000.01, 150_000), "high": S.at_least("o_totalprice", 300_000)}
     o = table(spark, sf_dir, "orders")
@@ -287,15 +287,15 @@ def recommendation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 10).alias("score"), kind.alias("confidence"))
 
 
-@query(f"""WITH {GAMES} SELECT game, greatest(0, 14 - week + 1) - greatest(0, 14 - greatest(week, 11) + 1) + greatest(0, 14 - greatest(week, 11) + 1) * 2.0 AS weeks FROM games""")
+@query(f"""WITH {GAMES} SELECT game, (greatest(0, 14 - week + 1) - greatest(0, 14 - greatest(week, 11) + 1) + greatest(0, 14 - greatest(week, 11) + 1) * 2.0)::DOUBLE AS weeks FROM games""")
 def playoff_season_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games(spark, sf_dir).select("game", A.season_weeks(F.col("week"), F.lit(14), 11, 2.0).alias("weeks"))
 
 
-@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN greatest(0.5, 0.92 - 0.02 * greatest(0, age - 28)) WHEN 'BUILDING' THEN greatest(0.5, 0.88 - 0.03 * greatest(0, age - 26)) END AS rate FROM (SELECT *, 20.0 + c_custkey % 30 AS age FROM customer)""")
+@query("""SELECT c_custkey, round((CASE c_mktsegment WHEN 'AUTOMOBILE' THEN greatest(0.5, 0.92 - 0.02 * greatest(0, age - 28)) WHEN 'BUILDING' THEN greatest(0.5, 0.88 - 0.03 * greatest(0, age - 26)) END)::DOUBLE, 6) AS rate FROM (SELECT *, 20.0 + c_custkey % 30 AS age FROM customer)""")
 def base_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = A.base_availability(F.col("c_mktsegment"), 20.0 + F.col("c_custkey") % 30, {"AUTOMOBILE": (0.92, 28.0, 0.02), "BUILDING": (0.88, 26.0, 0.03)})
-    return table(spark, sf_dir, "customer").select("c_custkey", rate.alias("rate"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(rate, 6).alias("rate"))
 
 
 @query()

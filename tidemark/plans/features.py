@@ -64,10 +64,10 @@ def season_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PW}, s AS (SELECT pos, season, week, sum(points) AS s, count(points) AS n FROM pw GROUP BY ALL),
 r AS (SELECT pos, season, week, sum(s) OVER w / sum(n) OVER w AS m FROM s WINDOW w AS (PARTITION BY pos, season ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT pos, season + 1 AS season, avg(points) AS before FROM pw GROUP BY ALL)
-SELECT pos, season, week, round(coalesce(m, before), 6) AS pooled FROM r LEFT JOIN b USING (pos, season)""")
+SELECT pos, season, week, floor(coalesce(m, before) * 1000 + 0.4142) / 1000 AS pooled FROM r LEFT JOIN b USING (pos, season)""")
 def pooled_group_mean_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = TS.pooled_prior_mean(player_weeks(spark, sf_dir), "pos", "season", "week", "points", "pooled")
-    return rows.select("pos", "season", "week", F.round("pooled", 6).alias("pooled")).distinct()
+    return rows.select("pos", "season", "week", C.on_grid("pooled", 3).alias("pooled")).distinct()
 
 
 @query(f"""WITH {PW}, s AS (SELECT pos, season, week, sum((touches > 1)::INT) AS s, count(*) AS n FROM pw GROUP BY ALL),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import lookup, ratio, remap, total
 from tidemark.operators.relational import latest, sides, top_n
-from tidemark.operators.timeseries import asof_join, expanding_mean, lag_shift_join, periods_in_role, pooled_prior_mean, prior_season_mean, rolling_std, with_ewm
+from tidemark.operators.timeseries import asof_join, expanding_mean, lag_shift_join, periods_in_role, pooled_prior_means, prior_season_mean, rolling_std, with_ewm
 from tidemark.season.interim import MOVED, OUTCOMES, PLAYER_WEEK, SKILL, TEAM_WEEK
 from tidemark.season.rules import points
 
@@ -313,12 +313,14 @@ def efficiency(features: DataFrame, usage: DataFrame, stats: DataFrame, rates: M
     rows = features.select(*PLAYER_WEEK, "team", "position").join(usage.select(*PLAYER_WEEK, "targets", "carries"), PLAYER_WEEK, "left").join(stats.select(*PLAYER_WEEK, *needed), PLAYER_WEEK, "left")
     rows = rows.fillna(0, ["targets", "carries", *needed])
     before = Window.partitionBy("player_id", "season").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
-    for name, (top, bottom, positions, strength) in rates.items():
-        rows = pooled_prior_mean(rows.withColumn("__r", ratio(top, bottom)), "position", "season", "week", "__r", "__league")
+    rows = pooled_prior_means(rows, "position", "season", "week", {f"__league_{name}": ratio(top, bottom) for name, (top, bottom, _, _) in rates.items()})
+
+    def expected(name: str, top: str, bottom: str, positions: Sequence[str], strength: float) -> Column:
         n = F.coalesce(F.sum(bottom).over(before), F.lit(0))
-        value = (F.coalesce(F.sum(top).over(before), F.lit(0)) + strength * F.col("__league")) / (n + strength)
-        rows = rows.withColumn(f"expected_{name}", F.when(F.col("position").isin(*positions), value)).drop("__r", "__league")
-    return rows
+        value = (F.coalesce(F.sum(top).over(before), F.lit(0)) + strength * F.col(f"__league_{name}")) / (n + strength)
+        return F.when(F.col("position").isin(*positions), value)
+
+    return rows.withColumns({f"expected_{name}": expected(name, *spec) for name, spec in rates.items()}).drop(*(f"__league_{name}" for name in rates))
 
 
 def hazard_features(rosters: DataFrame, schedule: DataFrame, injuries: DataFrame, snaps: DataFrame, crosswalk: DataFrame) -> DataFrame:
