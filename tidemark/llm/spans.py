@@ -7,12 +7,12 @@ at a run of blanks. Both cover every byte of every document, in order.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidemark.llm.common import ragged
 
@@ -20,12 +20,19 @@ OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 _WHITE = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 _UNKNOWN = 255
 _classes: np.ndarray | None = None
+_by_library = ByteLevel(add_prefix_space=False, use_regex=True)
 
 
-def _class_of(code: int) -> int:
-    if code in _WHITE:
-        return WHITE
-    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], OTHER)
+def _classes_of(codes: np.ndarray) -> np.ndarray:
+    """Classes of distinct code points as the tokenizers library has them: its Unicode version is neither that of the
+    standard library nor that of other packages. A character is a letter if it joins one, a number if it joins one."""
+    out = np.full(len(codes), OTHER, np.uint8)
+    for probe, kind in (("a", LETTER), ("1", NUMBER)):
+        text = "".join(f"{probe}{chr(c)}\n\n" for c in codes.tolist())
+        joined = [start // 4 for _, (start, end) in _by_library.pre_tokenize_str(text) if end - start == 2 and start % 4 == 0]
+        out[joined] = kind
+    out[np.isin(codes, list(_WHITE))] = WHITE
+    return out
 
 
 def char_classes(codes: np.ndarray) -> np.ndarray:
@@ -33,11 +40,11 @@ def char_classes(codes: np.ndarray) -> np.ndarray:
     global _classes
     if _classes is None:
         _classes = np.full(0x110000, _UNKNOWN, np.uint8)
-        _classes[:256] = [_class_of(c) for c in range(256)]
+        _classes[:256] = _classes_of(np.arange(256))
     found = _classes[codes]
     if (found == _UNKNOWN).any():
         new = np.unique(codes[found == _UNKNOWN])
-        _classes[new] = [_class_of(int(c)) for c in new]
+        _classes[new] = _classes_of(new)
         found = _classes[codes]
     return found
 
