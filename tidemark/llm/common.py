@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = getattr(spark.sparkContext, "_work_dir_when_unset", None)
         if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, folder, True)
+            found = "file://" + folder
             spark.sparkContext._work_dir_when_unset = found
     return found.rstrip("/")
 
@@ -59,7 +61,6 @@ def _tidied(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)
@@ -92,6 +93,27 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def level_of(counts: DataFrame, column: str, most: int) -> int:
+    """The least count from which on there are at most ``most`` rows, to a sixteenth of an octave: a histogram of counts
+    finds it, so that the rows themselves can be filtered before they reach the driver."""
+    step = F.floor(F.log2(column) * 16).cast("int")
+    total, level = 0, 1 << 62
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min(column).alias("least")).orderBy(F.desc("step")).collect():
+        total += r["rows"]
+        if total > most:
+            break
+        level = r["least"]
+    return level
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with columns c0, c1, ... and a row_key that stays the same however often it is read: a bare scan of files has
+    fixed row numbers, anything else is written first."""
+    keyed = df.toDF(*(f"c{k}" for k in range(len(df.columns)))).withColumn("row_key", F.monotonically_increasing_id())
+    bare = df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
+    return keyed if bare else written(keyed, name)
+
+
 def _quietly_remove(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

@@ -171,7 +171,7 @@ def _library(path: str) -> tuple[SpanCache, dict[str, int]]:
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
     # the library's own model, on what its byte-level step makes of a pre-token: whole Encoding objects cost thrice as much
     marks, model = {b: c for c, b in byte_symbols().items()}, library.model
-    return SpanCache(lambda keys: [[t.id for t in model.tokenize(k.decode("latin-1").translate(marks))] for k in keys]), special
+    return SpanCache(lambda keys: [[t.id for t in model.tokenize(k.decode("latin-1").translate(marks))] for k in keys], entries=1_200_000), special
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, levels: int = 16, shard_ids: int = SHARD_IDS) -> DataFrame:
