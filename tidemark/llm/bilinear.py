@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, worker_state, written
+from tidemark.llm.common import arrow, chunks, level_of, text_buffer, whole_text, worker_state, written
 from tidemark.llm.spans import SpanCache
 from tidemark.llm.words import LOWER, word_spans
 
@@ -107,19 +107,6 @@ class Vocabulary:
     tail_mass: np.ndarray  # counts + types + 1 of each class that shares
 
 
-def frequent_from(words: DataFrame, most: int) -> int:
-    """The least count from which on there are at most ``most`` words, to a sixteenth of an octave: a histogram of counts
-    finds it, so only the words themselves reach the driver."""
-    step = F.floor(F.log2("c") * 16).cast("int")
-    total, level = 0, None
-    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():
-        total += r.n
-        if total > most:
-            break
-        level = r.c
-    return 1 << 62 if level is None else level
-
-
 def vocabulary(counts: DataFrame) -> Vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +114,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array([tail_class(w) for w in words], pa.int32()), b.column(1)], names=["kind", "c"])
 
     words = counts.filter("word is not null")
-    level = frequent_from(words, KNOWN)
+    level = level_of(words, "c", KNOWN)
     top = sorted(((bytes(r.word), r.c) for r in words.filter(F.col("c") >= level).collect()), key=lambda x: (-x[1], x[0]))
     masses = {r.kind: (r.c, r.v) for r in words.transform(arrow, run, "kind int, c long").groupBy("kind").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
     total = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word").isNull(), F.col("c")))).first()

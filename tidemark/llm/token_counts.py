@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, worker_state
+from tidemark.llm.common import arrow, chunks, level_of, text_buffer, whole_text, worker_state, written
 from tidemark.llm.spans import SpanCache, space_spans
 
 MARK = "▁"
@@ -86,8 +86,8 @@ def frequent_lengths(texts: DataFrame, path: str, frequent: int, kept: int) -> d
         top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:kept]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    offered = texts.transform(arrow, run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    keys = [bytes(r.piece) for r in offered.orderBy(F.desc("n"), "piece").limit(frequent).collect()]
+    offered = written(texts.transform(arrow, run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    keys = [bytes(r.piece) for r in offered.filter(F.col("n") >= level_of(offered, "n", frequent)).collect()]
     return dict(zip(keys, _lengths(processor(path), keys), strict=True))
 
 
