@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ship
 
-#: White space of every word rule here: blank and the controls 0x09 to 0x0D.
-SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 #: Bytes of rows that Spark hands to a Python worker at once, where the session has not set its own.

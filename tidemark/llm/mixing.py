@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import numbered, written
 
 #: Bins of the keys of a source. Each bin is one window partition.
 BINS = 1024
@@ -90,11 +90,11 @@ def mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3, bins: int = BINS) ->
 
 def mixed_documents(docs: DataFrame, cap: float = 3.0, cycle: int = 3, bins: int = BINS) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it has complete epochs, once more if it is
-    sampled whole, and cut after its last word taken if it is at the border. ``docs`` is written once so that its rows
-    have fixed keys."""
+    sampled whole, and cut after its last word taken if it is at the border. ``docs`` is written once, unless it is a
+    bare scan, so that its rows have fixed keys."""
     names = docs.columns
     of = {n.lower(): f"c{k}" for k, n in enumerate(names)}
-    keyed = written(docs.toDF(*of.values()).withColumn("row_key", F.monotonically_increasing_id()), "mix-rows")
+    keyed = numbered(docs, "mix-rows")
     rows = written(_sized(keyed.select("row_key", F.col(of["doc_id"]).cast("long").alias("doc_id"), F.col(of["source"]).cast("string").alias("source"), F.col(of["text"]).alias("text"))), "sizes")
     decided = _taken(rows, cap, cycle, bins).filter("taken > 0").select("row_key", "size", "epochs", "extra")
     copies = F.col("epochs") + F.when(F.col("extra") > 0, 1).otherwise(0)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, written
+from tidemark.llm.common import arrow, chunks, numbered, text_buffer, whole_text, written
 
 #: Fingerprints of one block value that a task compares with each other at once; more are dealt into tiles.
 TILE = 4096
@@ -41,7 +41,7 @@ def segments_of(h: np.ndarray, s: int) -> np.ndarray:
     """Hash values of segment ``s``: XXH64 itself for the first, for others a mix of it."""
     if not s:
         return h
-    x = h + np.uint64(s) * np.uint64(0x9E3779B97F4A7C15)
+    x = h + np.uint64(s * 0x9E3779B97F4A7C15 % (1 << 64))
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
@@ -222,15 +222,15 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame
     return rows.join(component_of(rows, radius), "node").select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, segments: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, segments: int = 12) -> DataFrame:
     """``docs`` with one row of each group, the one of the smallest doc_id (null last), with all its columns.
 
     Fingerprints have ``segments`` x 64 bits here, and rows link if any segment is within ``radius``: texts with a Jaccard
     similarity of 0.8 or more of their word shingles differ in about a seventh of the bits or fewer, so one segment alone
-    would miss most of those near 0.8. ``docs`` is written once so that its rows have fixed keys."""
+    would miss most of those near 0.8. ``docs`` is written once, unless it is a bare scan, so that its rows have fixed keys."""
     names = docs.columns
     of = {n.lower(): f"c{k}" for k, n in enumerate(names)}
-    keyed = written(docs.toDF(*of.values()).withColumn("row_key", F.monotonically_increasing_id()), "near-rows")
+    keyed = numbered(docs, "near-rows")
     rows = keyed.select("row_key", F.col(of["doc_id"]).alias("doc_id"), F.col(of["text"]).alias("text"))
     rows = fingerprints(rows, shingle, segments)
     # rows of equal fingerprints are one node: the hash only names it, as 64 of the bits would
