@@ -397,6 +397,18 @@ def test_pii_base_spans(spark, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_pii_base_cards_of_short_groups(spark):
+    number = "4539148803436467"
+    texts = [f"card {sign.join(number[i : i + size] for i in range(0, 16, size))} thanks" for size in (1, 2) for sign in (" ", "-")]
+    texts += ["4 53 9-14 88 03 43 64 6 7", "45 39 14 88 03 4", "45 39 14 88 03 43 64 68"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert [len(base_spans(t)) for t in texts] == [1] * 5 + [0] * 2
+    for k, t in enumerate(texts):
+        assert found[k].n_card == len(base_spans(t)), t
+        assert found[k].base_sha256 == hashlib.sha256(spelled(base_spans(t)).encode()).hexdigest(), t
+
+
 def test_pii_adds_and_redacts(spark):
     texts = ["please call (415) 555-2671 now", "order 415-555-2671 shipped", "write to jane.doe (at) example.org today", "version 10:20:30:40:50:60:70:80 is out"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")

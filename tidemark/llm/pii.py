@@ -48,6 +48,8 @@ WIDE = {
 }
 #: A text without a match of this has no candidate of the kind.
 HINT = {"email": "[@]|\\((?:at)\\)|\\[at\\]", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{3}", "phone": "\\+[0-9]|[0-9]{3}[\\x20./-][0-9]{4}"}
+#: The same for the base rules. A base card's digits stand alone or have one separator between them.
+BASE_HINT = HINT | {"card": "(?:[0-9][\\x20-]?){11}[0-9]"}
 #: Words before a span that speak for a kind, in lower case.
 CONTEXT = {
     "email": "(?:e-?mail|mail|contact|write to|reach|correo|courriel|kontakt)[^0-9@]{0,16}$",
@@ -77,7 +79,7 @@ def _matches(text: Column, rule: str, hint: str, kind: int, base: bool) -> Colum
 
 def _placed(rows: DataFrame) -> DataFrame:
     """One row for each match of rows (row_key, text), with its start and end."""
-    lists = [_matches(F.col("text"), rules[k], HINT[k], i, base) for rules, base in ((BASE, True), (WIDE, False)) for i, k in enumerate(KINDS)]
+    lists = [_matches(F.col("text"), rules[k], hints[k], i, base) for rules, hints, base in ((BASE, BASE_HINT, True), (WIDE, HINT, False)) for i, k in enumerate(KINDS)]
     met = rows.select("row_key", F.concat(*lists).alias("found"))
     flat = met.select("row_key", F.inline("found"))
     so_far = Window.partitionBy("row_key", "kind", "base").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
