@@ -409,6 +409,44 @@ def test_pii_base_cards_of_short_groups(spark):
         assert found[k].base_sha256 == hashlib.sha256(spelled(base_spans(t)).encode()).hexdigest(), t
 
 
+@pytest.fixture
+def splits(spark, tmp_path):
+    """A table of 40 texts in small row groups, and what makes its next scan split its files differently."""
+    texts = [f"{k} of 40 " + "word " * 300 + (f"a{k}@b.org" if k % 3 == 0 else "none") for k in range(40)]
+    made = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(2)
+    made.write.option("parquet.block.size", 2048).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).parquet(f"{tmp_path}/docs")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    yield spark.read.parquet(f"{tmp_path}/docs"), texts, lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+def test_row_keys_do_not_depend_on_splits(spark, splits):
+    docs, texts, split = splits
+    keyed, seen = common.numbered(docs, "rows"), []
+    for size in ("128m", "1k", "300b"):
+        split(size)
+        again = keyed.select("*")
+        seen.append(({(r.row_key, r.c0) for r in again.collect()}, again.rdd.getNumPartitions()))
+    assert len({n for _, n in seen}) == 3
+    assert seen[0][0] == seen[1][0] == seen[2][0] and len({k for k, _ in seen[0][0]}) == 40
+    twice = common.numbered(spark.read.parquet(*docs.inputFiles(), *docs.inputFiles()), "rows").collect()
+    assert len({r.row_key for r in twice}) == len(twice)
+
+
+def test_pii_spans_stay_with_their_texts_when_splits_change(splits, monkeypatch):
+    docs, texts, split = splits
+
+    def written(df, name):
+        out = common.written(df, name)
+        split("300b")
+        return out
+
+    monkeypatch.setattr(pii, "written", written)
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert got == {k: f"email:{t.index('a' + str(k) + '@')}:{len(t)}" if "@" in t else "" for k, t in enumerate(texts)}
+
+
 def test_pii_adds_and_redacts(spark):
     texts = ["please call (415) 555-2671 now", "order 415-555-2671 shipped", "write to jane.doe (at) example.org today", "version 10:20:30:40:50:60:70:80 is out"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,11 +106,32 @@ def level_of(counts: DataFrame, column: str, most: int) -> int:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with columns c0, c1, ... and a row_key that stays the same however often it is read: a bare scan of files has
-    fixed row numbers, anything else is written first."""
-    keyed = df.toDF(*(f"c{k}" for k in range(len(df.columns)))).withColumn("row_key", F.monotonically_increasing_id())
-    bare = df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
-    return keyed if bare else written(keyed, name)
+    """``df`` with columns c0, c1, ... and a row_key that stays the same however often it is read: a bare scan of Parquet files
+    is keyed by file and row in it, which do not depend on how files are split into partitions; anything else is written
+    first."""
+    columns = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)]
+    files = _file_numbers(df) if len({c.lower() for c in df.columns}) == len(columns) else None
+    if files is None:
+        return written(df.toDF(*(f"c{k}" for k in range(len(columns)))).withColumn("row_key", F.monotonically_increasing_id()), name)
+    place = df.metadataColumn("_metadata")
+    keyed = df.select(*columns, place["file_path"].alias("__file"), place["row_index"].alias("__row"))
+    names = [f"c{k}" for k in range(len(columns))]
+    return keyed.join(F.broadcast(files), "__file").select(*names, (F.shiftleft("__number", 40) + F.col("__row")).alias("row_key"))  # a row a file
+
+
+def _file_numbers(df: DataFrame) -> DataFrame | None:
+    """__file, __number of the files of a bare Parquet scan, None for anything else or if a file is read twice."""
+    if df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    try:
+        place = df.metadataColumn("_metadata")
+        rows = df.select(place["file_path"].alias("__file"), place["row_index"].alias("__row"))
+    except AnalysisException:  # not files, or not Parquet
+        return None
+    found = sorted((r[0], r[1], r[2]) for r in rows.groupBy("__file").agg(F.count(F.lit(1)), F.max("__row")).collect())
+    if any(n != last + 1 for _, n, last in found):
+        return None
+    return df.sparkSession.createDataFrame([(f, k) for k, (f, _, _) in enumerate(found)], "__file string, __number long")
 
 
 def _quietly_remove(spark: SparkSession, path: str) -> None:

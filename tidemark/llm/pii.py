@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import numbered, written
 from tidemark.llm.pii_examples import examples
 
 KINDS = ("email", "ip", "card", "phone")
@@ -60,6 +60,7 @@ CONTEXT = {
 #: Words before a span that speak against personal data.
 AGAINST = "(?:order|invoice|version|isbn|serial|ref|no\\.|part|build|page|row|total|sku|id|ticket|case)[^0-9@]{0,8}$"
 BEFORE, AFTER = 32, 1
+MATCH = [("kind", "int"), ("base", "boolean"), ("number", "int"), ("gap", "int"), ("size", "int"), ("match", "string"), ("before", "string"), ("after", "string")]
 
 
 def _matches(text: Column, rule: str, hint: str, kind: int, base: bool) -> Column:
@@ -74,16 +75,22 @@ def _matches(text: Column, rule: str, hint: str, kind: int, base: bool) -> Colum
             x["match"].alias("match"), F.lower(F.right(x["left"], F.lit(BEFORE))).alias("before"), F.left(x["right"], F.lit(AFTER)).alias("after"),
         ),
     )
-    return F.when(text.rlike(hint), rows).otherwise(F.array().cast("array<struct<kind:int,base:boolean,number:int,gap:int,size:int,match:string,before:string,after:string>>"))
+    return F.when(text.rlike(hint), rows).otherwise(F.array().cast(f"array<struct<{','.join(map(':'.join, MATCH))}>>"))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """One row for each match of rows (row_key, text), with its start and end."""
+def _found(rows: DataFrame) -> DataFrame:
+    """The columns of rows (row_key, text, ..) but the text, with one row for each match and one of kind -1 for the text."""
     lists = [_matches(F.col("text"), rules[k], hints[k], i, base) for rules, hints, base in ((BASE, BASE_HINT, True), (WIDE, HINT, False)) for i, k in enumerate(KINDS)]
-    met = rows.select("row_key", F.concat(*lists).alias("found"))
-    flat = met.select("row_key", F.inline("found"))
+    own = F.array(F.struct(F.lit(-1).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in MATCH[1:])))
+    others = [c for c in rows.columns if c != "text"]
+    met = rows.select(*others, F.concat(own, *lists).alias("found"))
+    return met.select(*others, F.inline("found"))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """The matches with their starts and ends."""
     so_far = Window.partitionBy("row_key", "kind", "base").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    return flat.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
+    return found.filter("kind >= 0").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
 
 
 def _digits(column: Column) -> Column:
@@ -216,7 +223,7 @@ def model(spark: SparkSession) -> tuple[list, dict[int, float]]:
         quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
         said = examples()
         rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}L, {quoted(t)})" for i, (t, _, _) in enumerate(said)) + " AS t(row_key, text)")
-        wide = _placed(rows).filter("not base").select("row_key", "start", "end", *_features())
+        wide = _placed(_found(rows)).filter("not base").select("row_key", "start", "end", *_features())
         found = sorted(wide.collect())
         data = [(tuple(r[3:]), int(any(KINDS[r.f0] == k and a <= r.start and r.end <= b for k, a, b in said[r.row_key][1])), said[r.row_key][2]) for r in found]
         trees = fit_trees([(x, y) for x, y, held in data if not held])
@@ -224,10 +231,10 @@ def model(spark: SparkSession) -> tuple[list, dict[int, float]]:
     return _model["trees"], _model["levels"]
 
 
-def _accepted(rows: DataFrame) -> DataFrame:
-    """row_key, kind, base, start, end of all spans of rows (row_key, text)."""
-    trees, levels = model(rows.sparkSession)
-    placed = written(_placed(rows).select("row_key", "kind", "base", "start", "end", "match", "before", "after"), "candidates")
+def _accepted(found: DataFrame) -> DataFrame:
+    """row_key, kind, base, start, end of all spans of written matches."""
+    trees, levels = model(found.sparkSession)
+    placed = _placed(found).select("row_key", "kind", "base", "start", "end", "match", "before", "after")
     sure = placed.filter("base").filter(_valid()).select("row_key", "kind", "base", "start", "end")
     level = reduce(lambda rest, k: F.when(F.col("kind") == k, F.lit(levels[k])).otherwise(rest), levels, F.lit(float("inf")))
     wide = placed.filter("not base").select("row_key", "kind", "base", "start", "end", *_features())
@@ -254,9 +261,10 @@ def _spelled(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of every row."""
     keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    spans = _joined(_accepted(keyed.select("row_key", "text")))
+    found = written(_found(keyed), "candidates")  # keys and ids of one scan: another may number its rows differently
+    spans = _joined(_accepted(found))
     nothing = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    out = keyed.select("row_key", "doc_id").join(spans, "row_key", "left")
+    out = found.filter("kind = -1").select("row_key", "doc_id").join(spans, "row_key", "left")
     return out.select(
         "doc_id", *(F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(_spelled(F.coalesce("base", nothing)), 256).alias("base_sha256"), _spelled(F.coalesce("every", nothing)).alias("spans"),
@@ -265,12 +273,12 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in its texts replaced by its kind in square brackets; overlapping spans become one, named
-    by the first. ``docs`` should be a table: its rows are read twice and must come in the same partitions."""
+    by the first. ``docs`` is written once, unless it is a bare scan, so that its rows have fixed keys."""
     names = docs.columns
     of = {n.lower(): f"c{k}" for k, n in enumerate(names)}
-    keyed = docs.toDF(*of.values()).withColumn("row_key", F.monotonically_increasing_id())
+    keyed = numbered(docs, "pii-rows")
     text = F.coalesce(F.col(of["text"]), F.lit(""))
-    spans = _joined(_accepted(keyed.select("row_key", text.alias("text")))).select("row_key", "every")
+    spans = _joined(_accepted(written(_found(keyed.select("row_key", text.alias("text"))), "candidates"))).select("row_key", "every")
     met = keyed.join(spans, "row_key", "left")
     kinds = F.array(*(F.lit(f"[{k}]") for k in KINDS))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
