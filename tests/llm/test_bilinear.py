@@ -77,6 +77,14 @@ def test_tokens_of_a_class_share_its_probability(spark):
     assert vocab.unigram.sum() == pytest.approx(1)
 
 
+def test_every_position_of_training_documents_is_a_target(spark):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string").repartition(3)
+    vocab = spark.sparkContext.broadcast(bilinear.vocabulary(bilinear.word_counts(docs)))
+    rows = bilinear.classified(docs, vocab)
+    seen = sum(r.seen for r in bilinear.trained_parts(rows, vocab, None, None).collect())
+    assert seen == vocab.value.tokens == sum(len(tokens(x)) for d, x in texts() if bilinear.is_training(d))
+
+
 def test_empty_table_and_no_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bilinear.score(empty).count() == 0

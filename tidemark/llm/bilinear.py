@@ -5,8 +5,8 @@ other words fall into ``TAIL`` classes by a hash of their last two bytes. A toke
 log-bilinear probability of its class after the last ``CONTEXT`` classes, times its add-one share of the class
 ((count + 1) over the class's counts + types + 1, the 1 being any unknown word), so all tokens together sum to one.
 
-Training: every training document gives minibatches of its positions, one in ``EVERY`` by a rolling offset, so what is
-trained on grows with the corpus. Each partition trains from common parameters and the partitions' results are averaged
+Training: all positions of every training document are targets, in minibatches, so what is trained on grows with the
+corpus. Each partition trains from common parameters and the partitions' results are averaged
 by their positions: a short round from the start, then a round over everything.
 
 Counts are exact and cover all training documents. The words most frequent are broadcast (``KNOWN`` at most); counts of
@@ -37,7 +37,7 @@ from tidemark.llm.words import LOWER, word_spans
 
 HEAD, TAIL, CONTEXT, WIDTH = 255, 96, 6, 24
 KNOWN = 1 << 17
-EVERY, BATCH, NOISE, RATE = 4, 1024, 48, 0.15
+BATCH, NOISE, RATE = 1024, 48, 0.15
 #: Minibatches of each partition's first round.
 WARM = 60
 END, PAD = HEAD, HEAD + 1 + TAIL
@@ -152,11 +152,10 @@ class Classes:
         return classes, counts, bounds, starts, ends, place
 
 
-def contexts(classes: np.ndarray, bounds: np.ndarray, first: int = 0, every: int = 1) -> np.ndarray:
-    """The CONTEXT classes before each token (before one in ``every`` from ``first`` on), nearest first; PAD before a
-    document's start."""
-    place = np.arange(first, len(classes), every)
-    start = np.repeat(bounds[:-1], np.diff(bounds))[first::every]
+def contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The CONTEXT classes before each token, nearest first; PAD before a document's start."""
+    place = np.arange(len(classes))
+    start = np.repeat(bounds[:-1], np.diff(bounds))
     out = np.empty((len(place), CONTEXT), np.int32)
     for k in range(CONTEXT):
         at = place - k - 1
@@ -294,25 +293,23 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view("<u2").astype(np.int32), offsets // 2
 
 
-def train(rows: DataFrame, vocab, most: int | None, start: np.ndarray | None) -> np.ndarray:
-    """Parameters after a round over the partitions of rows with held_out and classes, each of ``most`` minibatches or all.
-    vocab: a broadcast."""
+def trained_parts(rows: DataFrame, vocab, most: int | None, start: np.ndarray | None) -> DataFrame:
+    """sums (parameters times positions) and seen (positions) of each partition of rows with held_out and classes, after
+    ``most`` minibatches or all. vocab: a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         model = LogBilinear(v.unigram)
         if start is not None:
             model.load(start)
-        trainer, steps, shift = Trainer(model, v.unigram, TaskContext.get().partitionId()), 0, 0
+        trainer, steps = Trainer(model, v.unigram, TaskContext.get().partitionId()), 0
         rest = [np.zeros((0, CONTEXT), np.int32), np.zeros(0, np.int32)]
         for b in chunks(batches, "classes"):
             if most is not None and steps >= most:
                 continue
             classes, bounds = _unpacked(b.column(0))
-            context, target = contexts(classes, bounds, shift % EVERY, EVERY), classes[shift % EVERY :: EVERY]
-            shift += 1
-            order = trainer.rng.permutation(len(target))
-            context, target = np.concatenate([rest[0], context[order]]), np.concatenate([rest[1], target[order]])
+            order = trainer.rng.permutation(len(classes))
+            context, target = np.concatenate([rest[0], contexts(classes, bounds)[order]]), np.concatenate([rest[1], classes[order]])
             full = len(target) // BATCH * BATCH
             for a in range(0, full, BATCH):
                 if most is None or steps < most:
@@ -324,6 +321,12 @@ def train(rows: DataFrame, vocab, most: int | None, start: np.ndarray | None) ->
         if trainer.seen:
             yield _blob(model.flat() * trainer.seen, trainer.seen)
 
+    return rows.filter("not held_out").select("classes").transform(arrow, run, "sums binary, seen long")
+
+
+def train(rows: DataFrame, vocab, most: int | None, start: np.ndarray | None) -> np.ndarray:
+    """Parameters after a round over the partitions of rows: their mean, by positions."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = 0.0, 0
         for b in batches:
@@ -332,8 +335,7 @@ def train(rows: DataFrame, vocab, most: int | None, start: np.ndarray | None) ->
         if seen:
             yield _blob(total, seen)
 
-    parts = rows.filter("not held_out").select("classes").transform(arrow, run, "sums binary, seen long")
-    found = parts.repartition(16).transform(arrow, add, "sums binary, seen long").collect()
+    found = trained_parts(rows, vocab, most, start).repartition(16).transform(arrow, add, "sums binary, seen long").collect()
     if not found:
         return LogBilinear(vocab.value.unigram).flat() if start is None else start
     return sum(np.frombuffer(r.sums) for r in sorted(found, key=lambda r: bytes(r.sums))) / sum(r.seen for r in found)
