@@ -257,6 +257,57 @@ def test_near_duplicates_leave_one_of_each_group(spark, nothing):
     assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def jaccard_roots(texts: list[str], size: int, least: float) -> dict[int, int]:
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def template_texts(n: int, share: float, seed: int) -> list[str]:
+    """Texts that have a passage in common and words of their own."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    same = [rng.choice(words) for _ in range(int(300 * share))]
+    return [" ".join([*same, *(rng.choice(words) for _ in range(300 - len(same)))]) for _ in range(n)]
+
+
+def test_pages_on_one_template_are_not_near_duplicates(spark):
+    texts = template_texts(150, 0.83, 7)  # about 0.7 each with each
+    assert len(set(jaccard_roots(texts, 5, 0.8).values())) == 150
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert kept.count() == 150
+
+
+def test_similar_edges_by_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for t in template_texts(12, 0.6, 8):
+        texts.append(t)
+        for _ in range(rng.randrange(6)):
+            near = rng.choice(texts).split()
+            near[rng.randrange(len(near))] = "other"
+            near[rng.randrange(len(near)) :] = near[: rng.randrange(40)]
+            texts.append(" ".join(near))
+    frame = spark.createDataFrame([(1, len(texts), k, t) for k, t in enumerate(texts)], "root long, n long, node long, text string")
+    for tile in (5, 512):
+        root = {r.node: r.root for r in simhash.components(simhash.similar_edges(frame, 5, 0.8, tile)).collect()}
+        groups = lambda of: sorted(sorted(k for k in range(len(texts)) if of(k) == r) for r in {of(k) for k in range(len(texts))})
+        assert groups(lambda k: root.get(k, k)) == groups(jaccard_roots(texts, 5, 0.8).get)
+
+
 def test_token_counts(docs, nothing):
     import sentencepiece
 

@@ -29,6 +29,8 @@ from tidemark.llm.common import arrow, chunks, numbered, text_buffer, whole_text
 
 #: Fingerprints of one block value that a task compares with each other at once; more are dealt into tiles.
 TILE = 4096
+#: Texts of one group that a task compares by their shingles at once.
+TEXTS = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -47,20 +49,26 @@ def segments_of(h: np.ndarray, s: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def fingerprint(raw: bytes, shingle: int = 3, segments: int = 1, seed: int = 42, block: int = 1 << 14) -> np.ndarray:
-    """The unsigned 64-bit segments of a UTF-8 text's fingerprint, ``block`` shingles at a time."""
+def shingle_hashes(raw: bytes, shingle: int, seed: int = 42, block: int = 1 << 14) -> Iterator[np.ndarray]:
+    """XXH64 values of a UTF-8 text's word shingles, ``block`` at a time; nothing for a text without words."""
     found = words(raw.translate(_LOWER))
     if not found:
-        return np.zeros(segments, np.uint64)
+        return
     n = max(1, len(found) - shingle + 1)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(lengths + 1) - lengths - 1
     ends = (starts + lengths)[min(shingle, len(found)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros((segments, 64), np.int64)
     for a in range(0, n, block):
-        h = np.array([digest(joined[x:y], seed) for x, y in zip(starts[a : min(n, a + block)].tolist(), ends[a : min(n, a + block)].tolist(), strict=True)], "<u8")
+        yield np.array([digest(joined[x:y], seed) for x, y in zip(starts[a : min(n, a + block)].tolist(), ends[a : min(n, a + block)].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(raw: bytes, shingle: int = 3, segments: int = 1, seed: int = 42, block: int = 1 << 14) -> np.ndarray:
+    """The unsigned 64-bit segments of a UTF-8 text's fingerprint, ``block`` shingles at a time."""
+    counts, n = np.zeros((segments, 64), np.int64), 0
+    for h in shingle_hashes(raw, shingle, seed, block):
+        n += len(h)
         for s in range(segments):
             counts[s] += np.unpackbits(segments_of(h, s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
@@ -215,6 +223,57 @@ def component_of(rows: DataFrame, radius: int = 3, tile: int = TILE) -> DataFram
     return rooted.select("node", "root").join(least, "root").select("node", "root", "component_id")
 
 
+def _similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Places of the ends of a spanning forest's edges of all pairs of sets with a Jaccard similarity of ``least`` or more."""
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, starts = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes) - sizes
+    held, left, edges = np.zeros(len(ids) + 1, bool), np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        reached = [first] if left[first] else []
+        left[first] = False
+        while reached and left.any():
+            x = reached.pop()
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            held[own] = True
+            both = np.bincount(owner, held[ids], len(sets))
+            held[own] = False
+            close = np.flatnonzero(left & (both >= least * (sizes + sizes[x] - both) - 1e-9))
+            left[close] = False
+            edges += [(x, y) for y in close.tolist()]
+            reached += close.tolist()
+    return edges
+
+
+def similar_edges(texts: DataFrame, shingle: int, least: float, tile: int = TEXTS) -> DataFrame:
+    """u, v: edges of which the components are those of all pairs of ``node`` of one ``root`` whose texts have a Jaccard
+    similarity of word shingles of ``least`` or more. Each node is one row of texts (root, n nodes, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by root and tile."""
+        nodes, sets, last = [], [], None
+
+        def close() -> pa.RecordBatch:
+            found = [(nodes[i], nodes[j]) for i, j in (_similar(sets, least) if len(sets) > 1 else [])]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in chunks(batches):
+            raw, offsets = text_buffer(b.column(4))
+            data = raw.tobytes()
+            for place, node, x, y in zip(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True), b.column(3).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if place != last:
+                    yield close()
+                    nodes, sets, last = [], [], place
+                nodes.append(node)
+                sets.append(np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(data[x:y], shingle)])))
+        yield close()
+
+    met = texts.withColumn("parts", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.select("root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "node", "text")
+    met = met.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", whole_text().alias("text"))
+    return met.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").transform(arrow, run, "u long, v long")
+
+
 def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), component_id of every row."""
     keyed = docs.select(F.lit(0).cast("long").alias("row_key"), "doc_id", "text")
@@ -222,12 +281,13 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame
     return rows.join(component_of(rows, radius), "node").select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, segments: int = 12) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, segments: int = 12, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group, the one of the smallest doc_id (null last), with all its columns.
 
-    Fingerprints have ``segments`` x 64 bits here, and rows link if any segment is within ``radius``: texts with a Jaccard
-    similarity of 0.8 or more of their word shingles differ in about a seventh of the bits or fewer, so one segment alone
-    would miss most of those near 0.8. ``docs`` is written once, unless it is a bare scan, so that its rows have fixed keys."""
+    Fingerprints have ``segments`` x 64 bits here, and rows are candidates if any segment is within ``radius``: texts with a
+    Jaccard similarity of 0.8 or more of their word shingles differ in about a seventh of the bits or fewer, so one segment
+    alone would miss most of those near 0.8. Within each component of candidates all pairs of texts are compared by their sets
+    of shingles, and groups are the components of the pairs at ``least`` or more. Rows of equal fingerprints are one text there. ``docs`` is written once, unless it is a bare scan, so that its rows have fixed keys."""
     names = docs.columns
     of = {n.lower(): f"c{k}" for k, n in enumerate(names)}
     keyed = numbered(docs, "near-rows")
@@ -235,6 +295,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, seg
     rows = fingerprints(rows, shingle, segments)
     # rows of equal fingerprints are one node: the hash only names it, as 64 of the bits would
     rows = written(rows.withColumn("node", F.xxhash64("fps")), "fingerprints")
-    found = rows.select("row_key", "doc_id", "node").join(component_of(rows, radius), "node")
+    grouped = rows.select("row_key", "doc_id", "node").join(component_of(rows, radius).select("node", "root"), "node")
+    members = grouped.groupBy("root", "node").agg(F.min("row_key").alias("row_key"))
+    crowds = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(members.join(crowds, "root"), "members")
+    texts = members.join(keyed.select("row_key", F.col(of["text"]).alias("text")), "row_key")
+    roots = components(similar_edges(texts, shingle, least))
+    found = rows.select("row_key", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias("row_key"))
     return keyed.join(keep, "row_key", "left_semi").select(*of.values()).toDF(*names)
