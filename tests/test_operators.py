@@ -324,3 +324,14 @@ def test_start_sit_prefers_the_better_player(spark):
     got = W.start_sit(df, "matchup", "side", "player", "team", "g", "mean", "q", [0.1, 0.25, 0.5, 0.75, 0.9], SLOTS, lambda a, b, same: 0.0).collect()
     assert [(r.sit, r.start) for r in got] == [(None, None), ("02", "03")]
     assert got[0].p_win == pytest.approx(0.5, abs=0.05) and got[1].delta_points == -4 and got[1].delta_p_win < -0.1
+
+
+def test_season_table_has_every_team_or_raises(spark, data):
+    from tidemark import plans
+    from tidemark.operators import simulation
+
+    nations = spark.read.parquet(f"{data}/customer.parquet").select("c_nationkey").distinct().count()
+    assert plans.queries()["season_bracket"](spark, data).count() == nations > 12
+    many = spark.range(65).selectExpr("id AS team", "1.0D AS mean", "1.0D AS sd")
+    with pytest.raises(ValueError):
+        simulation.season_table(many, "team", "mean", "sd", weeks=1, n=2)

@@ -98,11 +98,18 @@ def survival(players: DataFrame, mean: str, entity: str, n: int = 20_000, seed:
     return lowest.groupBy(entity).agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p_out"))
 
 
+#: Most teams of a season table.
+LEAGUE = 64
+
+
 def season_table(teams: DataFrame, team: str, mean: str, sd: str, weeks: int, n: int = 3000, seed: int = 0, playoffs: int = 4) -> DataFrame:
     """Seasons of weekly pairings by rotation: expected wins, points, and the chance of a playoff seat and of the first
-    seed. Seeds order by wins, then points. Teams are a league's (tens)."""
+    seed. Seeds order by wins, then points. Teams are a league's (tens); more than ``LEAGUE`` raise ValueError."""
     ship(teams.sparkSession)
-    rows = sorted(((r[0], float(r[1]), float(r[2])) for r in teams.select(team, mean, sd).limit(64).collect()), key=lambda r: str(r[0]))
+    found = teams.select(team, mean, sd).limit(LEAGUE + 1).collect()
+    if len(found) > LEAGUE:
+        raise ValueError(f"season_table: more than {LEAGUE} teams")
+    rows = sorted(((r[0], float(r[1]), float(r[2])) for r in found), key=lambda r: str(r[0]))
     names, mu, spread = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     kind = teams.schema[team].dataType.simpleString()
     kind_of = to_arrow_type(teams.schema[team].dataType)

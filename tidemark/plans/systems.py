@@ -198,7 +198,7 @@ def gaussian_copula_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def season_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    teams = _means(spark, sf_dir).groupBy("team").agg(F.avg("mean").alias("mean"), F.avg("sd").alias("sd")).orderBy("team").limit(12)
+    teams = _means(spark, sf_dir).groupBy("team").agg(F.avg("mean").alias("mean"), F.avg("sd").alias("sd"))
     return Z.season_table(teams, "team", "mean", "sd", weeks=11, n=400)
 
 
