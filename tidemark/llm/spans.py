@@ -101,10 +101,13 @@ def gpt_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def space_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts of the pieces that begin at a document's start or at a blank after a non-blank, and each document's
-    first one (n + 1)."""
+    first one (n + 1). U+2581 is a blank too: sentencepiece writes blanks so."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     blank = raw == 0x20
+    marks = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81))
+    for k in range(3):
+        blank[marks + k] = True
     cut = blank.copy()
     cut[1:] &= ~blank[:-1]
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True

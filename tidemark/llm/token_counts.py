@@ -50,8 +50,8 @@ def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     as the library puts one before every text."""
     raw, offsets = text_buffer(column)
     filled = offsets[:-1] < offsets[1:]
-    if len(raw) and (raw[offsets[:-1][filled]] == 0x20).any():
-        texts = [f" {t}" if t.startswith(" ") else t for t in column.fill_null("").to_pylist()]
+    if len(raw) and np.isin(raw[offsets[:-1][filled]], (0x20, 0xE2)).any():
+        texts = [f" {t}" if t.startswith((" ", MARK)) else t for t in column.fill_null("").to_pylist()]
         raw, offsets = text_buffer(pa.array(texts, pa.string()))
     starts, first = space_spans(raw, offsets)
     return raw, starts, np.append(starts[1:], len(raw)), first
@@ -59,7 +59,8 @@ def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _plain(key: bytes) -> str:
     """The text whose encoding is the pre-token's: the library puts the leading blank itself."""
-    return (key[1:] if key[:1] == b" " else key).decode("utf-8")
+    text = key.decode("utf-8")
+    return text[1:] if text.startswith((" ", MARK)) else text
 
 
 def _lengths(model, keys: list[bytes]) -> list[int]:
@@ -67,7 +68,7 @@ def _lengths(model, keys: list[bytes]) -> list[int]:
     if not keys:
         return []
     blank = len(model.encode("a ")) - len(model.encode("a"))
-    return [blank if k == b" " else n for k, n in zip(keys, map(len, model.encode([_plain(k) for k in keys], num_threads=1)), strict=True)]
+    return [blank if k in (b" ", MARK.encode()) else n for k, n in zip(keys, map(len, model.encode([_plain(k) for k in keys], num_threads=1)), strict=True)]
 
 
 def frequent_lengths(texts: DataFrame, path: str, frequent: int, kept: int) -> dict[bytes, int]:
