@@ -319,6 +319,23 @@ def test_token_counts(docs, nothing):
     assert token_counts.token_counts(nothing, PIECES).count() == 0
 
 
+def test_token_counts_of_texts_with_marks(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(13)
+    texts = ["a▁ b", "a▁ ", "▁", "▁a", " ▁a", "▁ ", "a▁", "é▁▁ x", *("".join(rng.choice("ab ▁é日") for _ in range(rng.randrange(1, 12))) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PIECES).collect()}
+    assert [(t, got[k]) for k, t in enumerate(texts)] == [(t, len(model.encode(t))) for t in texts]
+
+
+def test_wavelet_levels_hold_every_id():
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.build(np.array([1, 70_000]), 16)
+    assert wavelet.levels_of(BYTE_BPE, 2) == 16 and wavelet.levels_of(BYTE_BPE, 70_000) == 17
+
+
 def reshared(sizes: dict, cap: float = 3.0) -> dict:
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: k % 3 + 1.0 for k, s in enumerate(order)}

@@ -42,6 +42,8 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, levels: int | None = None) -> WaveletMatrix:
         n = len(ids)
         levels = levels or max(1, int(ids.max()).bit_length() if n else 1)
+        if n and int(ids.max()) >> levels:
+            raise ValueError(f"id {int(ids.max())} has more than {levels} bits")
         current = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, planes, directories = [], [], []
         words = -(-n // BLOCK) * (BLOCK // 64)
@@ -174,9 +176,18 @@ def _library(path: str) -> tuple[SpanCache, dict[str, int]]:
     return SpanCache(lambda keys: [[t.id for t in model.tokenize(k.decode("latin-1").translate(marks))] for k in keys], entries=1_200_000), special
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int, levels: int = 16, shard_ids: int = SHARD_IDS) -> DataFrame:
+def levels_of(path: str, end_id: int) -> int:
+    """Bits of the highest id of a tokenizer's file, 1 at least."""
+    from tokenizers import Tokenizer
+
+    return max(1, max([end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()]).bit_length())
+
+
+def write_shards(docs: DataFrame, path: str, end_id: int, levels: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode every text, append ``end_id``, and write shards in doc_id order. Returns the written shards:
-    part, seq, before (ids of the part before the shard), n_ids, doc_ids, lengths, matrix."""
+    part, seq, before (ids of the part before the shard), n_ids, doc_ids, lengths, matrix. Without ``levels`` the
+    tokenizer's highest id tells them."""
+    levels = levels or levels_of(path, end_id)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     names = ["part", "seq", "before", "n_ids", "doc_ids", "lengths", "matrix"]
