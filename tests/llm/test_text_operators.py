@@ -216,7 +216,7 @@ def test_simhash_links_of_crowded_blocks(spark):
         values.add(x)
     values = sorted(values | {rng.getrandbits(64) for _ in range(100)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = spark.createDataFrame([(signed(x), [signed(x)]) for x in values], "node long, fps array<long>")
+    rows = spark.createDataFrame([(signed(x),) for x in values], "node long")
     root = {r.node: r.root for r in simhash.components(simhash.links(rows, 3, tile=64)).collect()}
     want, got = {}, {}
     for x, r in connected(values, 3).items():
@@ -284,6 +284,47 @@ def template_texts(n: int, share: float, seed: int) -> list[str]:
     return [" ".join([*same, *(rng.choice(words) for _ in range(300 - len(same)))]) for _ in range(n)]
 
 
+def test_bit_counts_by_brute_force():
+    rng = random.Random(14)
+    for n in (0, 1, 254, 255, 256, 3000):
+        raw = " ".join(str(rng.randrange(10**6)) for _ in range(n)).encode()
+        counts, found = simhash.bit_counts(raw, 1, 3, block=1000)
+        hashes = np.concatenate([np.zeros(0, "<u8"), *simhash.shingle_hashes(raw, 1)])
+        assert found == n
+        for s in range(3):
+            assert counts[s].tolist() == [int((simhash.segments_of(hashes, s) >> np.uint64(k) & np.uint64(1)).sum()) for k in range(64)]
+
+
+def test_block_keys_turn_the_bits_nearest_to_half():
+    counts, n = np.array([[9, 5, 1, 0, 10, 6, 4, 10] + [0] * 56]), 10
+    keys = simhash.block_keys(counts, n, 4, 2)
+    assert keys.tolist() == [[0b0001, 0b0011, 0b0000, 0b0010], [0b1011, 0b1001, 0b1111, 0b1101]]
+
+
+def test_near_copies_at_the_limit_are_found(spark):
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for _ in range(150):
+        own = [rng.choice(words) for _ in range(400)]
+        texts.append(" ".join(own))
+        near = list(own)
+        for at in rng.sample(range(8), 7):
+            near[at * 48 + rng.randrange(40)] = "changed"
+        texts.append(" ".join(near))  # 35 of 396 shingles differ: 0.84
+    roots = jaccard_roots(texts, 5, 0.8)
+    assert len(set(roots.values())) == 150
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(150)} <= kept and len(kept) <= 165
+
+
+def test_hot_keys_are_looked_up(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 7 ELSE id END AS k", "id")
+    values = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    found = simhash.looked_up(rows, values, "k", 5000)
+    assert found.count() == 5000 and found.filter("k = 7 AND least = 0").count() == 4000 and found.filter("k <> 7 AND least <> id").count() == 0
+
+
 def test_pages_on_one_template_are_not_near_duplicates(spark):
     texts = template_texts(150, 0.83, 7)  # about 0.7 each with each
     assert len(set(jaccard_roots(texts, 5, 0.8).values())) == 150
