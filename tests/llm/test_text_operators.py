@@ -588,10 +588,74 @@ def test_importance(spark, nothing):
     assert importance.scores(docs, importance.fit(docs, labels.limit(0))).filter("not kept").count() == 0
 
 
-def test_importance_weights_are_log_ratios():
-    weights = np.arange(importance.BUCKETS + importance.COPIES) % 7 / 7.0
-    raw, offsets = common.text_buffer(pa.array(["abcab", "", "ab", "x x y x"]))
-    sums, count = importance._sums(weights, raw, offsets)
-    assert count.tolist() == [3 + 1, 0, 0 + 1, 5 + 4] and sums[1] == 0
-    alone, _ = importance._sums(weights, *common.text_buffer(pa.array(["x x y x"])))
-    assert sums[3] == alone[0]
+def plain_hash(word: bytes) -> int:
+    """The hash of words.py by its definition."""
+    size = 1 << 64
+    h = sum((b + 1) * pow(0x100000001B3, k, size) for k, b in enumerate(word)) % size
+    h = (h ^ h >> 31) * 0x9E3779B97F4A7C15 % size
+    return h ^ h >> 29
+
+
+def plain_grams(text: str | None) -> list[tuple[int, int]]:
+    """(kind, bucket) of all n-grams."""
+    hashes = [plain_hash(w) for w in (text or "").encode().split()]
+    pairs = [0 if a == b else (a * 31 + b * 0x9E3779B97F4A7C15) % (1 << 64) for a, b in zip(hashes, hashes[1:])]
+    raw = (text or "").encode()
+    trigrams = [int.from_bytes(raw[k : k + 3], "big") * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(len(raw) - 2)]
+    return [(kind, h >> 64 - importance.BITS) for kind, found in enumerate((hashes, pairs, trigrams)) for h in found]
+
+
+def test_importance_by_brute_force(spark):
+    """Weights, keys and what is kept, with repeated rows, nulls, a very long text and k given."""
+    from collections import Counter
+
+    rng = random.Random(16)
+    words = ["stone", "river", "Ñandú", "under", "light", "the", "x", "日本"]
+    texts = [None, "", "  ", "x" * 70_000, "the " * 30_000] + [" ".join(rng.choice(words[: 3 + k % 6]) for _ in range(rng.randrange(1, 60))) for k in range(120)]
+    made = [(k, t) for k, t in enumerate(texts)] + [(7, texts[7]), (None, texts[9])]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 6 > 2)) for k in range(125)] + [(8, 0), (8, 1)], "doc_id long, quality int")
+    sample = {r.doc_id: r for r in importance.labelled_sample(labels, 50_000).collect()}
+    assert len(sample) == 125 and sample[8].quality == 0 and 10 < sum(r.held for r in sample.values()) < 60
+    raw, target = Counter(), Counter()
+    for d, t in made:
+        grams = plain_grams(t)
+        raw.update(grams)
+        if d in sample and sample[d].quality == 1 and not sample[d].held:
+            target.update(grams)
+    sums = lambda c, kind: sum(n for (k, _), n in c.items() if k == kind)
+    share = [sums(target, k) / sums(raw, k) for k in range(3)]
+    for scale in (1.0, 1000.0):
+        model = importance.fit(docs, labels, scale=scale)
+        want, keys = [], {}
+        for d, t in made:
+            weight = 0.0
+            for kind, prior in enumerate(importance.PRIORS):
+                own = [g for g in plain_grams(t) if g[0] == kind]
+                weight += sum(np.log((target[g] + importance.SMOOTH) / (raw[g] * share[kind] + importance.SMOOTH)) for g in own) / (len(own) + prior)
+            u = ((xxhash.xxh64_intdigest(str(d).encode(), 7) >> 11) + 0.5) / 2**53
+            keys[d] = scale * weight - float(np.log(-np.log(u)))
+            want.append((str(d), len(plain_grams(t)), weight, keys[d]))
+        found = importance.scores(docs, model).collect()
+        for g, w in zip(sorted((str(r.doc_id), r.n_grams, r.log_weight, r.key) for r in found), sorted(want), strict=True):
+            assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=2e-9) and g[3] == pytest.approx(w[3], abs=1e-5)
+        assert all(r.kept == (r.key >= model.level) for r in found)
+        held = [(keys[d], r.quality) for d, r in sample.items() if r.held]
+        gains = lambda level: sum(q for k, q in held if k >= level) / sum(q for _, q in held) - sum(1 - q for k, q in held if k >= level) / sum(1 - q for _, q in held)  # noqa: B023, E731
+        assert gains(model.level) == pytest.approx(max(gains(k) for k, _ in held))
+        ordered = sorted((keys[d] for d, _ in made), reverse=True)
+        for k in (1, 40, 126, 500):
+            level = ordered[k - 1] if k < len(ordered) else -np.inf
+            kept = {str(r.doc_id) for r in importance.scores(docs, model, k).collect() if r.kept}
+            assert kept == {str(d) for d, _ in made if keys[d] >= level - 1e-6}
+        assert importance.keep_good(docs, model, 40).count() in (40, 41)
+
+
+def test_kth_largest_of_many_ties(spark):
+    values = [float(x) for x in [*range(300), *[7.5] * 200, 1e9, -1e9]]
+    frame = spark.createDataFrame([(v,) for v in values], "key double").repartition(3)
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 290, 300, 500, 502):
+        want = ordered[k - 1] if k < len(values) else -np.inf
+        assert importance.kth_largest(frame, k, bins=8, few=5) == want
+    assert importance.kth_largest(frame, 0) == np.inf
\ No newline at end of file

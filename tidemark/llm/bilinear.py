@@ -41,7 +41,7 @@ from tidemark.llm.common import arrow, chunks, level_of, ragged, text_buffer, wh
 from tidemark.llm.spans import SpanCache
 from tidemark.llm.words import LOWER, word_spans
 
-HEAD, TAIL, CONTEXT, WIDTH = 31, 96, 6, 16
+HEAD, TAIL, CONTEXT, WIDTH = 31, 96, 4, 16
 KNOWN, VECTORS, LEAST = 1 << 17, 1 << 14, 10
 #: Strips of text side by side in a minibatch, tokens of each, noise classes and noise words of a minibatch.
 STRIPS, STEP, NOISE, OTHERS, RATE = 16, 128, 32, 128, 0.05
@@ -405,14 +405,15 @@ def classified(docs: DataFrame, vocab) -> DataFrame:
             share = np.where(units_of.rest[units], log_share - units_of.log_rest[units], 0.0)
             rare = np.flatnonzero(seen[place] < 0) if len(place) else np.zeros(0, np.int64)
             docs_of = np.searchsorted(bounds, place[rare], "right") - 1 if len(rare) else rare
-            data = raw.tobytes()
-            found: list[dict[bytes, int]] = [{} for _ in range(b.num_rows)]
-            for d, x, y in zip(docs_of.tolist(), starts[rare].tolist(), ends[rare].tolist(), strict=True):
-                word, own = data[x:y], found[d]
-                own[word] = own.get(word, 0) + 1
+            slots = units_of.cache.slots[rare] if len(rare) else rare
+            _, shown, times = np.unique(docs_of << 32 | slots, return_index=True, return_counts=True)
+            sizes = ends[rare[shown]] - starts[rare[shown]]
+            spelled = pa.Array.from_buffers(
+                pa.binary(), len(shown), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(raw[ragged(starts[rare[shown]], sizes)])]
+            )
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32()),
-                pa.StructArray.from_arrays([pa.array([w for f in found for w in f], pa.binary()), pa.array([n for f in found for n in f.values()], pa.int32())], names=["word", "n"]),
+                pa.array(np.searchsorted(docs_of[shown], np.arange(b.num_rows + 1)), pa.int32()),
+                pa.StructArray.from_arrays([spelled, pa.array(times, pa.int32())], names=["word", "n"]),
             )
             packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(units.astype("<u2"))])
             sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731  every document has its end token
