@@ -1,7 +1,11 @@
 """The corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, mixing, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but the last return the columns of
-``documents``.
+``documents``, others that a caller's table has among them, whatever their names.
+
+Cases, for all stages: a null text counts as empty and a null source is a source of its own; empty texts are one group of equal
+texts; texts of any length are whole; repeated rows are rows of one group, of which one stays; a null doc_id stays in a group only
+where it is the one to stay by its stage's order; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,27 +20,29 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose importance key is among the k largest."""
+    """Documents whose importance key is among the k largest. Ties stay or go together; without labels of both kinds all stay."""
     return importance.keep_good(docs, importance.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space: the longest, then the smallest doc_id, null last."""
     return content_sort.drop_duplicates_by_content(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on shingles of five words."""
+    """One document of each group of near-duplicates, by pairs at a similarity of 0.8 or more on shingles of five words: the
+    smallest doc_id, null last. Texts without words are one group."""
     return simhash.drop_near_duplicates(docs, shingle=5)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights, documents repeated by epochs."""
+    """The mix of sources at their target weights, documents repeated by epochs; one without words gives no row. Ties of key go by
+    doc_id."""
     return mixing.mixed_documents(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Numbers and digests of each document's ids and of what they decode to."""
+    """Numbers and digests of each row's ids and of what they decode to; one row for each."""
     return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER))
 
 

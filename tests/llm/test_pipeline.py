@@ -110,3 +110,28 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and extra columns whose names operators use."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(500)]
+    own = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(8)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, own[0], "a"), (1, own[0], "a"), (2, own[0], "b"), (None, own[0], None), (3, None, "a"), (4, "", None), (5, " \n", "b"), (6, long, "a"), (None, own[1], "b"), (7, own[2], None), (8, long + " more", "b"), (None, None, None), (9, "x" * 50_000, "a")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, row_key long, node string, key double, c0 string, size long, __file string"
+    made = [(d, t, None, s, None, 5, "n", 1.5, "c", None, "f") for d, t, s in rows]
+    spark.createDataFrame(made, names).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, counts = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns == [n.split()[0] for n in names.split(", ")]
+        assert docs.filter("row_key <> 5 OR node <> 'n' OR key <> 1.5 OR c0 <> 'c' OR size IS NOT NULL").count() == 0
+        counts.append(sorted((str(r.doc_id), len(r.text or "")) for r in docs.collect()))
+    assert len(counts[0]) == len(rows)
+    assert counts[1] == sorted([("1", len(own[0])), ("None", len(own[1])), ("7", len(own[2])), ("5", 2), ("6", len(long)), ("8", len(long) + 5), ("9", 50_000)])
+    assert counts[2] == [c for c in counts[1] if c[0] != "8"]
+    assert {c[0] for c in counts[3]} <= {"1", "None", "7", "6", "9"}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(counts[3])

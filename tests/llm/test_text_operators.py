@@ -440,8 +440,27 @@ def test_telephony(docs, nothing):
     for r in found:
         assert same.setdefault(r.payload_sha256 + str(r.n_bytes), (r.media_sha256, r.feature, r.media_bytes)) == (r.media_sha256, r.feature, r.media_bytes)
     assert telephony.features(telephony.store(nothing)).count() == 0
-    pcm = telephony.pcm_column(stored.filter("doc_id = 4")).first().pcm
-    assert len(pcm) == 2 * 2 * 192
+    one = stored.filter("doc_id = 4").first()
+    kind, rate, body = telephony.read_wav(one.media)
+    expanded = telephony.A_LAW[np.frombuffer(b"a" + b" " * 191, np.uint8)]
+    assert (kind, rate) == (1, 16000) and np.frombuffer(body, "<i2").tolist() == telephony.resample_twice(expanded).tolist()
+
+
+def test_pcm_columns_of_telephony_files(spark):
+    codes = np.arange(256, dtype=np.uint8)
+    blocks = np.random.default_rng(6).integers(0, 256, (3, telephony.BLOCK), dtype=np.uint8)
+    files = [telephony.wav(codes.tobytes(), 7, 8000, 8), telephony.wav(codes.tobytes(), 6, 8000, 8), telephony.wav(blocks.tobytes(), 17, 8000, 4), None]
+    media = spark.createDataFrame([(k, f, "x") for k, f in enumerate(files)], "id int, media binary, doc_id string")
+    found = {r.id: r.pcm for r in telephony.pcm_column(media).collect()}
+    for k, samples in enumerate((telephony.MU_LAW, telephony.A_LAW, telephony.decode_adpcm(blocks).ravel())):
+        pcm = np.frombuffer(found[k], "<i2")
+        assert (pcm[::2] == samples).all() and len(pcm) == 2 * len(samples)
+        x = samples.astype(int)
+        assert pcm[3] == np.clip((9 * (x[1] + x[2]) - x[0] - x[3] + 8) >> 4, -32768, 32767)
+    assert found[3] is None
+    assert (telephony.A_CODE[telephony.A_LAW.view(np.uint16)] == codes).all() and len(set(telephony.A_LAW.tolist())) == 256
+    with pytest.raises(ValueError):
+        telephony.pcm_column(media, out="doc_id")
 
 
 def test_law_tables():

@@ -30,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a local one where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Where it is unset a local master, which has no
+    other machines, gets a temporary folder; any other raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_work_dir_when_unset", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, folder, True)
             found = "file://" + folder
@@ -72,7 +75,7 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     texts fill the memory beside an executor's heap."""
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get(_ARROW, "64MB") in ("67108864b", "64MB"):
+    if spark.conf.get(_ARROW, "64MB") in ("67108864b", "64MB"):  # the session's own setting stays; it is read when a plan runs
         spark.conf.set(_ARROW, str(ARROW_BYTES))
     return df.mapInArrow(_tidied(run), schema)
 
@@ -82,12 +85,12 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later stages start from files that outlive
-    executors. The folder is removed when the driver ends."""
+def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, by zstd at ``level``, and read it back: later stages start from files
+    that outlive executors. The folder is removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     atexit.register(_quietly_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,8 @@ The rest is sampled without replacement: document i has the key -ln(u_i) / w_i,
 quality weight w_i, and documents are taken by ascending key until the running sum of sizes meets the rest; the document
 at the border gives only the words still missing.
 
-The running sum is in two levels: per source and key bin (a bounded number of bins), then within a bin. So a source with
-any share of the rows is spread over many tasks.
+The running sum is in two levels: per source and key bin, then within a bin. The number of bins grows with the rows and no bin
+has much more than its share, so a source with any share of the rows is spread over many tasks.
 
 u_i comes from a hash of doc_id, so reruns agree and rows of one doc_id have one key.
 
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import numbered, written
 
-#: Bins of the keys of a source. Each bin is one window partition.
-BINS = 1024
+#: The least quality weight.
+LEAST = 0.25
+#: Bins of the keys of a source, at least, and rows for which there is one more. Each bin is one window partition and has
+#: 1 / LEAST times its share of a source's rows, at most.
+BINS, BIN_ROWS = 1024, 25_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -38,7 +41,7 @@ def quality_weight(text: Column) -> Column:
     """A document's quality weight, from 0.25 to 1: its share of code points that are letters of any script, blanks, full
     stops or commas, or 0.25 where that is less. Exact in quarters, so that engines agree."""
     plain = F.length(F.regexp_replace(text, "[\\x21-\\x2B\\x2D\\x2F-\\x40\\x5B-\\x60\\x7B-\\x7E]+", ""))
-    return F.greatest(F.lit(1), F.floor(4 * plain / F.greatest(F.length(text), F.lit(1)))) / F.lit(4.0)
+    return F.greatest(F.lit(1), F.floor(4 * plain / F.greatest(F.length(text), F.lit(1)))) / F.lit(1 / LEAST)
 
 
 def targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
@@ -56,10 +59,12 @@ def targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
     return final.select("source", "source_size", F.coalesce(target, F.lit(0.0)).cast("double").alias("target"))
 
 
-def _taken(rows: DataFrame, cap: float, cycle: int, bins: int) -> DataFrame:
+def _taken(rows: DataFrame, cap: float, cycle: int, bins: int | None) -> DataFrame:
     """rows (row_key, doc_id, source, size, weight) with source_size, target, epochs, extra and taken."""
+    bins = bins or max(BINS, rows.count() // BIN_ROWS)
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("weight"))
-    rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
+    # even for rows of the least weight; rows of weight 1 are densest in the first bins, LEAST times as wide in their keys
+    rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key") * LEAST)) * bins), F.lit(bins - 1)).cast("int"))
     cells = rows.groupBy("source", "bin").agg(F.sum("size").alias("cell"))
     goal = targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), cap, cycle)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -81,14 +86,14 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("row_key", "doc_id", "source", size.alias("size"), quality_weight(text).alias("weight"))
 
 
-def mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3, bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, cap: float = 3.0, cycle: int = 3, bins: int | None = None) -> DataFrame:
     """doc_id, source, size, weight, source_size, target, epochs, taken of every row."""
     rows = docs.select(F.lit(0).cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     rows = written(_sized(rows), "sizes")
     return _taken(rows, cap, cycle, bins).select("doc_id", "source", "size", "weight", "source_size", "target", "epochs", "taken")
 
 
-def mixed_documents(docs: DataFrame, cap: float = 3.0, cycle: int = 3, bins: int = BINS) -> DataFrame:
+def mixed_documents(docs: DataFrame, cap: float = 3.0, cycle: int = 3, bins: int | None = None) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it has complete epochs, once more if it is
     sampled whole, and cut after its last word taken if it is at the border. ``docs`` is written once, unless it is a
     bare scan, so that its rows have fixed keys."""

@@ -241,7 +241,8 @@ def _accepted(found: DataFrame) -> DataFrame:
     wide = wide.filter(score_column(trees) >= level).select("row_key", "kind", "base", "start", "end")
     both = sure.union(wide)
     order = Window.partitionBy("row_key").orderBy("start", F.desc("base"), "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    backward = Window.partitionBy("row_key").orderBy(F.desc("start"), "base", F.desc("end"), F.desc("kind"))  # frames that only grow
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (order, backward))
     free = (F.coalesce(F.max("end").over(before), F.lit(0)) <= F.col("start")) & (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(after), F.col("end")) >= F.col("end"))
     return both.withColumn("free", free).filter("base or free").select("row_key", "kind", "base", "start", "end")
 

@@ -4,12 +4,15 @@ mu-law and A-law bytes expand to 16-bit samples by lookup tables built from thei
 first sample, a step index and 4-bit steps; numpy decodes all blocks of a batch together, one sample of each at a time.
 PCM is resampled from 8 to 16 kHz by the midpoint filter (-1, 9, 9, -1) / 16, edges repeated.
 
-Stored form: a WAV file of format 7 (mu-law) at 8 kHz, one channel, one byte a sample; the payload is any bytes, so
-storing is lossless. Files are binary values of a zstd-compressed Parquet table in the shared folder.
+Stored form: a WAV file of 16 kHz 16-bit PCM, one channel: the payload's bytes, taken as A-law telephony at 8 kHz, are
+expanded and resampled. Every second sample is one of the expanded ones, and the 256 codes of A-law have 256 values, so the
+payload comes back from the file whole, whatever its bytes. Files are binary values of a zstd-compressed Parquet table in the
+shared folder.
 
 Cases: null and empty texts are 192 blanks; equal texts have equal values; repeated rows are repeated; texts of any length
-are whole (a value holds 2 GB at most); ADPCM step indices over the table's end count as its last; an empty table gives no
-row; other columns pass by unread.
+are whole (a file of 2 GB, half a GB of text, is the most a value holds); ADPCM step indices over the table's end count as its
+last; an empty table gives no row; other columns pass by unread in :func:`store`, and are all kept in :func:`pcm_column`,
+which raises where there is one of the name it makes.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow, chunks, text_buffer, whole_text, written
+from tidemark.llm.common import CHUNK_BYTES, arrow, chunks, text_buffer, whole_text, written
 
 #: Bytes of an ADPCM block; payloads are padded to a multiple.
 BLOCK = 192
@@ -52,6 +55,9 @@ def _a_law() -> np.ndarray:
 
 
 MU_LAW, A_LAW = _mu_law(), _a_law()
+#: Code of each A-law value, by the value as an unsigned number.
+A_CODE = np.zeros(1 << 16, np.uint8)
+A_CODE[A_LAW.view(np.uint16)] = np.arange(256)
 
 
 def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
@@ -84,10 +90,10 @@ def resample_twice(samples: np.ndarray) -> np.ndarray:
     return np.stack([samples.astype(np.int32), between], 1).astype(np.int16).ravel()
 
 
-def wav_mu_law(payload: bytes) -> bytes:
-    """A WAV file of 8-bit mu-law samples at 8 kHz."""
-    n = len(payload)
-    body = b"WAVE" + b"fmt " + struct.pack("<IHHIIHHH", 18, 7, 1, 8000, 8000, 1, 8, 0) + b"fact" + struct.pack("<II", 4, n) + b"data" + struct.pack("<I", n) + payload + b"\0" * (n % 2)
+def wav(data: bytes, kind: int, rate: int, bits: int) -> bytes:
+    """A WAV file of one channel. kind: 1 (PCM), 6 (A-law), 7 (mu-law)."""
+    n = len(data)
+    body = b"WAVE" + b"fmt " + struct.pack("<IHHIIHHH", 18, kind, 1, rate, rate * bits // 8, bits // 8, bits, 0) + b"fact" + struct.pack("<II", 4, 8 * n // bits) + b"data" + struct.pack("<I", n) + data + b"\0" * (n % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -108,8 +114,10 @@ def read_wav(data: bytes) -> tuple[int, int, memoryview]:
 
 def pcm_column(media: DataFrame, column: str = "media", out: str = "pcm") -> DataFrame:
     """``media`` with 16 kHz little-endian PCM of a column of WAV files: mu-law (format 7), A-law (6) or IMA ADPCM (17, in
-    blocks of BLOCK bytes). A null file gives null."""
-    kept = media.drop(out)
+    blocks of BLOCK bytes). A null file gives null; a column of the name ``out`` raises ValueError."""
+    if out.lower() in {c.lower() for c in media.columns}:
+        raise ValueError(f"there is a column {out}")
+    kept = media
     schema = kept.withColumn(out, F.lit(None).cast("binary")).schema
 
     def pcm(data: bytes | None) -> bytes | None:
@@ -133,29 +141,31 @@ def pcm_column(media: DataFrame, column: str = "media", out: str = "pcm") -> Dat
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Write each text as a WAV file: doc_id, n_bytes, media."""
+    """Write each text as a file of resampled PCM: doc_id, n_bytes, media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             raw, offsets = text_buffer(b.column(1))
             data, media = raw.tobytes(), []
             for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                media.append(wav_mu_law(data[x:y] + b" " * ((-(y - x)) % BLOCK if y > x else BLOCK)))
+                payload = np.frombuffer(data[x:y] + b" " * ((-(y - x)) % BLOCK if y > x else BLOCK), np.uint8)
+                media.append(wav(resample_twice(A_LAW[payload]).astype("<i2").tobytes(), 1, 16000, 16))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return written(rows.transform(arrow, run, "doc_id long, n_bytes long, media binary"), "media")
+    return written(rows.transform(arrow, run, "doc_id long, n_bytes long, media binary"), "media", level=9)
 
 
 def features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of stored files.
     feature: sums of squares of the payload as mu-law, as A-law and as ADPCM, sign changes of the mu-law samples, and the
-    CRC-32 of its 16 kHz PCM, joined by ":"."""
+    CRC-32 of its 16 kHz PCM, joined by ":". All come from the files: the payload from every second sample."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def measured(column: pa.Array) -> list[pa.Array]:
         files = column.to_pylist()
-        payloads = [read_wav(f)[2] for f in files]
+        bodies = [read_wav(f)[2] for f in files]
+        payloads = [A_CODE[np.frombuffer(x, "<u2")[::2]].tobytes() for x in bodies]
         at = np.concatenate([[0], np.cumsum([len(p) for p in payloads])])
         raw = np.frombuffer(b"".join(payloads), np.uint8)
         mu = MU_LAW[raw]
@@ -165,7 +175,7 @@ def features(media: DataFrame) -> DataFrame:
         turns = np.concatenate([[False], (mu[1:] < 0) != (mu[:-1] < 0)])
         turns[at[:-1]] = False
         columns = [energy(mu, at[:-1]), energy(A_LAW[raw], at[:-1]), np.add.reduceat(by_block, at[:-1] // BLOCK), np.add.reduceat(turns.astype(np.int64), at[:-1])]
-        pcm = [zlib.crc32(resample_twice(mu[x:y]).astype("<i2").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        pcm = [zlib.crc32(x) for x in bodies]
         said = [":".join(map(str, x)) for x in zip(*(c.tolist() for c in columns), pcm, strict=True)]
         return [
             pa.array([len(p) for p in payloads], pa.int64()),
@@ -177,7 +187,7 @@ def features(media: DataFrame) -> DataFrame:
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "media"):
+        for b in chunks(batches, "media", 4 * CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *measured(b.column(2))], names=names)
 
     return media.transform(arrow, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
