@@ -158,8 +158,9 @@ def block_masks(n: int, radius: int) -> list[int]:
 
 
 def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Places of the ends of a spanning forest's edges: of the links within ``left`` (right None) or between the two, whose
-    places follow those of ``left``. Fingerprints are rows of 64-bit words."""
+    """Places of the ends of edges that join each component of the links within ``left`` (right None) or between the two, whose
+    places follow those of ``left``: from its first place to each other one, so that blocks which hold much the same texts
+    give much the same edges. Fingerprints are rows of 64-bit words."""
     others = left if right is None else right
     shift = 0 if right is None else len(left)
     parent = list(range(shift + len(others)))
@@ -170,15 +171,13 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tup
             x = parent[x]
         return x
 
-    edges = []
     rows = max(1, (1 << 20) // max(1, len(others)))
     for a in range(0, len(left), rows):
         apart = sum(np.bitwise_count(left[a : a + rows, None, k] ^ others[None, :, k]).astype(np.uint16) for k in range(left.shape[1]))
         for i, j in zip(*(x.tolist() for x in np.nonzero(apart <= radius)), strict=True):
             if (x := find(a + i)) != (y := find(shift + j)):
-                parent[x] = y
-                edges.append((a + i, shift + j))
-    return edges
+                parent[max(x, y)] = min(x, y)
+    return [(y, x) for x in range(len(parent)) if (y := find(x)) != x]
 
 
 def _tile_edges(radius: int):
@@ -223,7 +222,7 @@ def met_links(rows: DataFrame, radius: int, tile: int) -> DataFrame:
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("block", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "fp", "more", "node")
-    dealt = met.repartition("block", "key", "a", "b").sortWithinPartitions("block", "key", "a", "b", "side", "fp")
+    dealt = met.repartition("block", "key", "a", "b").sortWithinPartitions("block", "key", "a", "b", "side", "node")
     return dealt.transform(arrow, _tile_edges(radius), "u long, v long")
 
 
