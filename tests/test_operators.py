@@ -335,3 +335,38 @@ def test_season_table_has_every_team_or_raises(spark, data):
     many = spark.range(65).selectExpr("id AS team", "1.0D AS mean", "1.0D AS sd")
     with pytest.raises(ValueError):
         simulation.season_table(many, "team", "mean", "sd", weeks=1, n=2)
+
+
+def test_ewm_of_a_key_with_many_rows(spark):
+    """Blocks give what one running quotient gives, nulls, a span of 1 and spans far apart included."""
+    rows = [("a", t, None if t % 11 == 3 else float((t * 37) % 101)) for t in range(5000)] + [("b", 0, 2.0)]
+    df = spark.createDataFrame(rows, "e string, t int, x double").repartition(3)
+    found = TS.with_ewm(df, {"m": ("x", 4), "s": ("x", 1), "l": ("x", 300)}, ["e"], ["t"])
+    assert found.columns == ["e", "t", "x", "m", "s", "l"]
+    got = {(r.e, r.t): r for r in found.collect()}
+    assert len(got) == 5001 and got["b", 0].m == 2.0
+    for out, span in (("m", 4), ("l", 300)):
+        decay, num, den = 1 - 2 / (span + 1), 0.0, 0.0
+        for _, t, x in rows[:-1]:
+            num, den = num * decay + (x or 0.0), den * decay + (x is not None)
+            value = getattr(got["a", t], out)
+            assert value is None if x is None else value == pytest.approx(num / den, rel=1e-9)
+    assert all(r.s == r.x for r in got.values())
+
+
+def test_text_operators_are_optional(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "tidemark.llm", None)
+    monkeypatch.setitem(sys.modules, "tidemark.llm.registry", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    try:
+        importlib.reload(entry)
+        assert entry.queries() and "pipeline" not in entry.queries() and not any(q.startswith("op1_") for q in entry.queries())
+        assert set(entry.oracle_sql()) <= set(entry.queries())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)

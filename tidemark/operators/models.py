@@ -110,9 +110,11 @@ def fit_logistic(train: DataFrame, target: str, features: Sequence[str], categor
 
 
 def over_expectation(df: DataFrame, season: str, keys: Sequence[str], target: str, features: Sequence[str], out: str) -> DataFrame:
-    """Mean of outcome less the chance fitted on the season before only."""
+    """Mean of outcome less the chance fitted on the season before only: an action a season, of which there are tens. No row
+    where no season follows another."""
+    empty = df.limit(0).groupBy(*keys).agg(F.avg(F.lit(0.0)).alias(out))
     found: DataFrame | None = None
-    seasons = [r[0] for r in df.select(season).distinct().orderBy(season).limit(200).collect()]
+    seasons = [r[0] for r in df.select(season).distinct().orderBy(season).collect()]
     for before, now in zip(seasons, seasons[1:], strict=False):
         if now != before + 1:
             continue
@@ -122,7 +124,7 @@ def over_expectation(df: DataFrame, season: str, keys: Sequence[str], target: st
         rows = fit_logistic(train, target, features).predict(df.filter(F.col(season) == now))
         part = rows.groupBy(*keys).agg(F.avg(F.col(target).cast("double") - F.col("p")).alias(out))
         found = part if found is None else found.unionByName(part)
-    return found
+    return empty if found is None else found
 
 
 def ridge_strengths(df: DataFrame, groups: Sequence[str], unit: str, other: str, value: str, weight: Column, strength: float = 20.0) -> DataFrame:

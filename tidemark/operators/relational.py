@@ -99,3 +99,10 @@ def full_difference(current: DataFrame, previous: DataFrame, keys: Sequence[str]
     """Value now and before and their difference, missing counting as 0."""
     both = full_join(keys, current.select(*keys, F.col(value).alias("now")), previous.select(*keys, F.col(value).alias("before")))
     return both.fillna(0, ["now", "before"]).withColumn("change", F.col("now") - F.col("before"))
+
+
+def future_opponents(both: DataFrame, team: str, opponent: str, season: str, week: str, at: int) -> DataFrame:
+    """What each side has left of its season after week ``at``: games, distinct opponents and the next week. Sides without games
+    left give no row."""
+    left = both.filter(F.col(week) > at)
+    return left.groupBy(team, season).agg(F.count(F.lit(1)).alias("games_left"), F.count_distinct(opponent).alias("opponents_left"), F.min(week).alias("next_week"))

@@ -18,22 +18,35 @@ def with_ewm(df: DataFrame, columns: Mapping[str, tuple[str, float]], keys: Sequ
     the row.
 
     Each is the quotient of two running sums of weights that grow by 1 / (1 - alpha) from row to row, so all of them share
-    one sort and one window. Nulls get no weight but still age the rows before them; the result is null at a null. A
-    partition may have as many rows as keep the weights finite (about 1,300 at span 4): more raise an error.
+    one sort and one window. Nulls get no weight but still age the rows before them; the result is null at a null. So that
+    weights stay finite, a key's rows are summed in blocks, each after the last rows of the block before whose weights could
+    change a double; a key may have any number of rows.
     """
-    w = ordered(keys, order)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
     decays = {out: 1 - 2.0 / (span + 1) for out, (_, span) in columns.items()}
-    most = min((int(690 / -math.log(d)) for d in decays.values() if d > 0), default=1)
-    age = F.when(F.col("__age") <= most, F.col("__age")).otherwise(F.raise_error(F.lit(f"ewm: more than {most} rows in a partition")).cast("int"))
-    rows = df.withColumn("__age", F.row_number().over(w)).withColumn("__age", age)
-    sums = {}
+    rates = [-math.log(d) for d in decays.values() if d > 0] or [1.0]
+    block, history = int(345 / max(rates)), math.ceil(40 / min(rates))
+    if history > block:  # spans too far apart for common blocks
+        for out, column in columns.items():
+            df = with_ewm(df, {out: column}, keys, order)
+        return df
+    w = ordered(keys, order)
+    rows = df.withColumn("__age", F.row_number().over(w) - 1)
+    own = F.floor(F.col("__age") / block).cast("int")
+    ends = F.col("__age") % block >= block - history
+    rows = rows.withColumn("__block", F.explode(F.when(ends, F.array(own, own + 1)).otherwise(F.array(own))))
+    place = (F.col("__age") - (F.col("__block") - 1) * block).cast("double")
+    running = ordered([*keys, "__block"], ["__age"]).rowsBetween(Window.unboundedPreceding, 0)
+    sums, means = {}, {}
     for k, (out, (value, _)) in enumerate(columns.items()):
-        weight = F.when(F.col(value).isNotNull(), F.pow(F.lit(1 / max(decays[out], 1e-9)), F.col("__age").cast("double")))
+        known = F.col(value).isNotNull()
+        if decays[out] <= 0:  # only the row itself counts
+            means[out] = F.col(value).cast("double")
+            continue
+        weight = F.when(known, F.pow(F.lit(1 / decays[out]), place))
         sums |= {f"__num_{k}": F.sum(F.col(value) * weight).over(running), f"__den_{k}": F.sum(weight).over(running)}
-    rows = rows.withColumns(sums)
-    means = {out: F.when(F.col(value).isNotNull(), F.col(f"__num_{k}") / F.col(f"__den_{k}")) for k, (out, (value, _)) in enumerate(columns.items())}
-    return rows.withColumns(means).drop("__age", *sums)
+        means[out] = F.when(known, F.col(f"__num_{k}") / F.col(f"__den_{k}"))
+    rows = rows.withColumns(sums) if sums else rows
+    return rows.withColumns(means).filter(F.col("__block") == own).drop("__age", "__block", *sums)
 
 
 def lagged_ewm(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], span: float, out: str) -> DataFrame:

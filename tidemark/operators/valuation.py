@@ -88,9 +88,9 @@ def cap_segments(starts: Sequence[int], values: Sequence[float], most: int) -> l
 
 
 def normalised_tiers(df: DataFrame, group: str, value: str, tie: str, least: int = 2, most: int = 12) -> DataFrame:
-    """Gap tiers with small ones merged and at most ``most``. The raw tiers come from windows; only one row for each
-    tier and group (at most ``raw``) reaches the sequential rule."""
-    raw = gap_tiers(df, group, value, tie, most=1_000)
+    """Gap tiers with small ones merged and at most ``most``. The raw tiers come from windows, however many there are; only one row for
+    each tier and group reaches the sequential rule."""
+    raw = gap_tiers(df, group, value, tie, most=(1 << 31) - 1)
     edges = raw.groupBy(group, "tier").agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("top"), F.min(value).alias("bottom"))
 
     def rule(rows: pd.DataFrame) -> pd.DataFrame:
@@ -201,3 +201,11 @@ def fills_slots(groups: Sequence[str], slots: Sequence[Sequence[str]]) -> bool:
     return len(groups) >= len(slots) and -1 not in matching([[k for k, s in enumerate(slots) if g in s] for g in groups], len(slots))
 
 
+
+
+def season_board(df: DataFrame, entity: str, group: str, season: str, week: str, value: str, at: int, last: int) -> DataFrame:
+    """Each entity's value to date (weeks up to ``at``), its mean a played week, the rest of the season at that mean, and its place
+    within season and group by the two together (ties by entity). Entities without a week so far are not on the board."""
+    so_far = df.filter(F.col(week) <= at).groupBy(entity, group, season).agg(F.sum(value).alias("to_date"), F.avg(value).alias("mean"))
+    board = so_far.withColumn("rest", F.col("mean") * (last - at)).withColumn("total", F.col("to_date") + F.col("rest"))
+    return board.withColumn("place", F.row_number().over(Window.partitionBy(season, group).orderBy(F.desc("total"), entity)))

@@ -10,9 +10,10 @@ from tidemark.operators import identity as I
 from tidemark.operators import models as M
 from tidemark.operators import relational as R
 from tidemark.operators import simulation as Z
+from tidemark.operators import valuation as V
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.evaluations import forecasts
-from tidemark.plans.frames import PW, games, money, player_weeks, plays, table
+from tidemark.plans.frames import GAMES, PW, games, money, player_weeks, plays, table
 from tidemark.sources import documents as D
 from tidemark.streaming import stateful as S
 
@@ -237,3 +238,45 @@ def current_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PW}, a AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY season DESC, week DESC) AS back FROM pw) SELECT player, points AS last_points, season, week FROM a WHERE back = 1""")
 def current_form_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.latest(player_weeks(spark, sf_dir), ["player"], ["season", "week"], ["points", "season", "week"]).withColumnRenamed("points", "last_points")
+
+
+#: Periods of the walk-forward query.
+PERIODS = [(1994, 9), (1996, 6), (1998, 3)]
+
+
+@query(f"""WITH {PW}, p(s, w) AS (VALUES {', '.join(map(str, PERIODS))}),
+t AS (SELECT s, w, pos, avg(points) AS mean, regr_slope(points, week) AS slope, regr_intercept(points, week) AS start
+  FROM p JOIN pw ON season < s OR season = s AND week < w GROUP BY ALL),
+r AS (SELECT pw.*, unnest([struct_pack(predictor := 'mean', prediction := mean), struct_pack(predictor := 'trend', prediction := start + slope * week)]) AS x
+  FROM pw JOIN t ON season = s AND week = w AND pw.pos = t.pos)
+SELECT x.predictor AS predictor, season, week, pos, count(*) AS n, round(sum(abs(points - x.prediction)), 2) AS error FROM r GROUP BY ALL""")
+def walk_forward_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two predictors fitted anew for each period on the strictly earlier rows: a segment's mean and its line through the weeks."""
+
+    def mean(train: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(train.groupBy("pos").agg(F.avg("points").alias("prediction")), "pos")
+
+    def trend(train: DataFrame, rows: DataFrame) -> DataFrame:
+        line = train.groupBy("pos").agg(F.regr_slope("points", "week").alias("slope"), F.regr_intercept("points", "week").alias("start"))
+        return rows.join(line, "pos").withColumn("prediction", F.col("start") + F.col("slope") * F.col("week"))
+
+    found = M.walk_forward(player_weeks(spark, sf_dir), "season", "week", {"mean": mean, "trend": trend}, PERIODS, ["player", "season", "week", "pos"], "points")
+    error = F.round(F.sum(F.abs(F.col("points") - F.col("prediction"))), 2)
+    return found.groupBy("predictor", "season", "week", "pos").agg(F.count(F.lit(1)).alias("n"), error.alias("error"))
+
+
+@query(f"""WITH {GAMES}, s AS (SELECT home AS team, away AS opponent, season, week FROM games UNION ALL SELECT away, home, season, week FROM games)
+SELECT team, season, count(*) AS games_left, count(DISTINCT opponent) AS opponents_left, min(week) AS next_week FROM s WHERE week > 6 GROUP BY ALL""")
+def future_opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = {"season": "season", "week": "week"}
+    both = R.sides(games(spark, sf_dir), {"team": "home", "opponent": "away"} | common, {"team": "away", "opponent": "home"} | common)
+    return R.future_opponents(both, "team", "opponent", "season", "week", at=6)
+
+
+@query(f"""WITH {PW}, d AS (SELECT player, pos, season, sum(points) AS to_date, avg(points) AS mean FROM pw WHERE week <= 6 GROUP BY ALL)
+SELECT player, pos, season, round(to_date, 2) AS to_date, round(mean * 6, 6) AS rest,
+  row_number() OVER (PARTITION BY season, pos ORDER BY to_date + mean * 6 DESC, player) AS place FROM d""")
+def season_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points to date and the rest of the season at the mean so far, with places by segment."""
+    board = V.season_board(player_weeks(spark, sf_dir), "player", "pos", "season", "week", "points", at=6, last=12)
+    return board.select("player", "pos", "season", F.round("to_date", 2).alias("to_date"), F.round("rest", 6).alias("rest"), "place")
