@@ -119,10 +119,11 @@ def _count_model(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[0][held]), pa.array(counts[1][held])], names=["bucket", "raw", "target"])
 
     # at most KINDS * BUCKETS rows
-    found = rows.transform(arrow, run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    found = rows.transform(arrow, run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     counts = np.zeros((2, KINDS * BUCKETS))
-    for r in found:
-        counts[:, r.bucket] += (r.raw, r.target)
+    buckets = found["bucket"].to_numpy()
+    for row, name in enumerate(("raw", "target")):
+        counts[row, buckets] = found[name].to_numpy()
     weights = np.zeros(KINDS * BUCKETS)
     for kind in range(KINDS):
         part = slice(kind * BUCKETS, (kind + 1) * BUCKETS)
