@@ -370,3 +370,14 @@ def test_text_operators_are_optional(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
+
+
+def test_season_board_places_equal_values_by_entity_whatever_their_order(spark):
+    values = {1: [0.3, 0.2, 0.1], 2: [0.1, 0.2, 0.3], 3: [0.2, 0.3, 0.1], 4: [None, 0.3, 0.3]}
+    rows = [(e, "g", 1, w, v) for e, own in values.items() for w, v in enumerate(own, 1)]
+    df = spark.createDataFrame(rows, "e int, g string, s int, w int, v double").coalesce(1)
+    found = V.season_board(df, "e", "g", "s", "w", "v", at=3, last=6).collect()
+    assert {r.e: r.place for r in found} == {1: 2, 2: 3, 3: 4, 4: 1}
+    assert len({r.total for r in found if r.e < 4}) == 1 and [r.rest for r in found if r.e == 4] == [0.3 * 3]
+    exact = V.season_board(df.withColumn("v", F.col("v").cast("decimal(18,2)")), "e", "g", "s", "w", "v", at=3, last=6).collect()
+    assert {r.e: (r.place, r.to_date) for r in exact} == {1: (2, 0.6), 2: (3, 0.6), 3: (4, 0.6), 4: (1, 0.6)}

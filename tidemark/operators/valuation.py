@@ -201,11 +201,19 @@ def fills_slots(groups: Sequence[str], slots: Sequence[Sequence[str]]) -> bool:
     return len(groups) >= len(slots) and -1 not in matching([[k for k, s in enumerate(slots) if g in s] for g in groups], len(slots))
 
 
+def steady_sum(df: DataFrame, value: str) -> Column:
+    """A sum that does not depend on the order of rows, as a double: exact for decimals and whole numbers, in ascending order for
+    doubles, so that entities with equal values have equal sums."""
+    if df.schema[value].dataType.typeName() not in ("double", "float"):
+        return F.sum(value).cast("double")
+    values = F.array_sort(F.collect_list(F.col(value).cast("double")))
+    return F.when(F.count(value) > 0, F.aggregate(values, F.lit(0.0), lambda total, x: total + x))
 
 
 def season_board(df: DataFrame, entity: str, group: str, season: str, week: str, value: str, at: int, last: int) -> DataFrame:
     """Each entity's value to date (weeks up to ``at``), its mean a played week, the rest of the season at that mean, and its place
     within season and group by the two together (ties by entity). Entities without a week so far are not on the board."""
-    so_far = df.filter(F.col(week) <= at).groupBy(entity, group, season).agg(F.sum(value).alias("to_date"), F.avg(value).alias("mean"))
-    board = so_far.withColumn("rest", F.col("mean") * (last - at)).withColumn("total", F.col("to_date") + F.col("rest"))
+    so_far = df.filter(F.col(week) <= at).groupBy(entity, group, season).agg(steady_sum(df, value).alias("to_date"), F.count(value).alias("__n"))
+    board = so_far.withColumn("mean", F.when(F.col("__n") > 0, F.col("to_date") / F.col("__n"))).drop("__n")
+    board = board.withColumn("rest", F.col("mean") * (last - at)).withColumn("total", F.col("to_date") + F.col("rest"))
     return board.withColumn("place", F.row_number().over(Window.partitionBy(season, group).orderBy(F.desc("total"), entity)))

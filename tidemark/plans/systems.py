@@ -278,5 +278,6 @@ SELECT player, pos, season, round(to_date, 2) AS to_date, round(mean * 6, 6) AS
   row_number() OVER (PARTITION BY season, pos ORDER BY to_date + mean * 6 DESC, player) AS place FROM d""")
 def season_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to date and the rest of the season at the mean so far, with places by segment."""
-    board = V.season_board(player_weeks(spark, sf_dir), "player", "pos", "season", "week", "points", at=6, last=12)
+    weeks = player_weeks(spark, sf_dir).withColumn("points", F.col("points").cast("decimal(18,2)"))  # sums of amounts, so equal totals tie
+    board = V.season_board(weeks, "player", "pos", "season", "week", "points", at=6, last=12)
     return board.select("player", "pos", "season", F.round("to_date", 2).alias("to_date"), F.round("rest", 6).alias("rest"), "place")
