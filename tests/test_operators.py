@@ -381,3 +381,20 @@ def test_season_board_places_equal_values_by_entity_whatever_their_order(spark):
     assert len({r.total for r in found if r.e < 4}) == 1 and [r.rest for r in found if r.e == 4] == [0.3 * 3]
     exact = V.season_board(df.withColumn("v", F.col("v").cast("decimal(18,2)")), "e", "g", "s", "w", "v", at=3, last=6).collect()
     assert {r.e: (r.place, r.to_date) for r in exact} == {1: (2, 0.6), 2: (3, 0.6), 3: (4, 0.6), 4: (1, 0.6)}
+
+
+def test_nearest_equals_all_pairs_with_missing_values(spark):
+    rng, nan, inf = random.Random(5), float("nan"), float("inf")
+    odd = [None, nan, inf, -inf]
+    value = lambda: rng.choice(odd) if rng.random() < 0.15 else float(rng.randrange(-12, 12))
+    left = [(n, rng.choice([0, 1, 2, None]), value()) for n in range(80)] + [(3, 1, 2.0), (90, 7, 1.0), (91, 5, 2.0), (92, 5, None), (93, 6, nan)]
+    right = [(n, rng.choice([0, 1, 2, None]), value()) for n in range(60)] + [(70, 5, None), (69, 5, None), (71, 6, nan), (72, 6, None), (73, 6, 4.0)]
+    pairs: dict = {}
+    for i, k, a in left:
+        for j, m, b in right:
+            if k is not None and k == m:
+                gap = None if a is None or b is None else abs(a - b)
+                pairs.setdefault(i, []).append((gap is None, gap is None or gap != gap, gap if gap is not None and gap == gap else 0.0, j, gap))
+    want = {i: min(p)[3:] for i, p in pairs.items()}
+    got = I.nearest(spark.createDataFrame(left, "l int, k int, a double"), spark.createDataFrame(right, "r int, k int, b double"), ["k"], "a", "b", "l", "r").collect()
+    assert {r.l: (r.r, str(r.gap)) for r in got} == {i: (j, str(g)) for i, (j, g) in want.items()} and len(got) == len(want)

@@ -109,9 +109,26 @@ def best_match(pairs: DataFrame, left_id: str, score: str, tie: str, columns: Se
 
 
 def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], left_value: str, right_value: str, left_id: str, right_id: str) -> DataFrame:
-    """Of each left row's block the right row with the nearest value, the smallest id of equals."""
-    pairs = left.join(right, list(block)).withColumn("__gap", F.abs(F.col(left_value) - F.col(right_value)))
-    return pairs.groupBy(left_id).agg(F.min_by(right_id, F.struct("__gap", right_id)).alias(right_id), F.min("__gap").alias("gap"))
+    """Of each left row's block the right row with the nearest value, the smallest id of equals; without a value on either side
+    (null last, NaN before it) the smallest id of the block, and no gap.
+
+    No pairs are formed: both sides are sorted once by value, and a row's candidates are the last right value up to its own, the
+    first from it on, and the smallest id of each kind of value. Of gaps that only rounding makes equal, the nearest value's."""
+    kept, a, b = list(block), F.col(left_value), F.col(right_value)
+    item = F.struct(b.alias("value"), F.col(right_id).alias("id"))
+    kind = F.when(b.isNull(), 4).when(F.isnan(b), 3).when(b == float("inf"), 2).when(b == float("-inf"), 1).otherwise(0)
+    first = right.groupBy(*kept, kind.alias("__kind")).agg(F.min_by(item, right_id).alias("__item")).groupBy(*kept).agg(F.collect_list("__item").alias("__first"))
+    values = right.filter(b.isNotNull() & ~F.isnan(b)).groupBy(*kept, right_value).agg(F.min(right_id).alias(right_id)).select(*kept, b.alias("__at"), item.alias("__item"))
+    rows = left.select(*kept, a.alias("__at"), F.struct(a.alias("value"), F.col(left_id).alias("id")).alias("__left")).unionByName(values, allowMissingColumns=True)
+    w = Window.partitionBy(*kept).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.last("__item", ignorenulls=True)
+    own = F.col("__left").isNotNull()
+    met = rows.withColumns({"__below": found.over(w.orderBy("__at", own)), "__above": found.over(w.orderBy(F.desc("__at"), own))}).filter(own).join(first, kept)
+    gap = lambda x: F.abs(F.col("__left.value") - x["value"])
+    candidates = F.filter(F.concat(F.array("__below", "__above"), F.col("__first")), lambda x: x.isNotNull())
+    best = F.array_min(F.transform(candidates, lambda x: F.struct(gap(x).isNull().alias("none"), gap(x).alias("gap"), x["id"].alias("id"))))
+    out = met.select(F.col("__left.id").alias(left_id), best.alias("__best")).groupBy(left_id).agg(F.min("__best").alias("__best"))
+    return out.select(left_id, F.col("__best.id").alias(right_id), F.col("__best.gap").alias("gap"))
 
 
 def compared(recorded: DataFrame, computed: DataFrame, key: Sequence[str], recorded_value: str, computed_value: str, tolerance: float = 0.01) -> DataFrame:
