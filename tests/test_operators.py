@@ -398,3 +398,16 @@ def test_nearest_equals_all_pairs_with_missing_values(spark):
     want = {i: min(p)[3:] for i, p in pairs.items()}
     got = I.nearest(spark.createDataFrame(left, "l int, k int, a double"), spark.createDataFrame(right, "r int, k int, b double"), ["k"], "a", "b", "l", "r").collect()
     assert {r.l: (r.r, str(r.gap)) for r in got} == {i: (j, str(g)) for i, (j, g) in want.items()} and len(got) == len(want)
+
+
+def test_fuzzy_one_to_one_is_greedy_over_all_pairs_without_forming_them(spark):
+    rng, names = random.Random(9), ["ann lee", "ann le", "an lee", "bob ray", "bob rae", "", "cy", None]
+    rows = lambda n: [(i, rng.choice(["x", "y", None]), rng.choice(names)) for i in rng.sample(range(300), n)]
+    left = spark.createDataFrame(rows(120) + [(7, "x", "cy"), (7, "x", "bob ray")], "l long, b string, m string")
+    right = spark.createDataFrame(rows(90) + [(5, "y", "ann le")], "r long, b string, n string")
+    whole = I.greedy_one_to_one(I.fuzzy_pairs(left, right, ["b"], "m", "n", 70.0), ["b"], "l", "r", "score").select("b", "l", "r", "score")
+    found = I.fuzzy_one_to_one(left, right, ["b"], "l", "r", "m", "n", 70.0)
+    assert sorted(found.collect()) == sorted(whole.collect()) and found.count() > 40
+    copies = spark.range(2000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit(1).alias("p_size"), F.concat(F.lit("blue ring "), F.col("id") % 2).alias("p_name"))
+    pairs = I.fuzzy_one_to_one(copies.toDF("l", "b", "s", "m"), copies.toDF("r", "b", "s", "n"), ["b", "s"], "l", "r", "m", "n", 80.0)
+    assert pairs.filter("l = r and score = 100").count() == pairs.count() == 2000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -102,6 +103,59 @@ def greedy_one_to_one(pairs: DataFrame, block: Sequence[str], left_id: str, righ
     return pairs.groupBy(*block).applyInPandas(choose, schema)
 
 
+def best_first(scores: Sequence[tuple], left_ids: dict, right_ids: dict) -> list[tuple]:
+    """(left id, right id, score) of :func:`greedy_one_to_one` over all rows of scored pairs of names (left, right, score), where
+    each name has sorted ids: at one score a left row, by id, takes the smallest id left among its names' partners."""
+    levels: dict[float, list[tuple]] = {}
+    for l, r, score in scores:
+        levels.setdefault(score, []).append((l, r))
+    used_left, used_right, at, out = set(), set(), dict.fromkeys(right_ids, 0), []
+    for score in sorted(levels, reverse=True):
+        partners: dict[object, list] = {}
+        for l, r in levels[score]:
+            for i in left_ids[l]:
+                if i not in used_left:
+                    partners.setdefault(i, []).append(r)
+        for i in sorted(partners):
+            least = None
+            for name in partners[i]:
+                ids = right_ids[name]
+                while at[name] < len(ids) and ids[at[name]] in used_right:
+                    at[name] += 1
+                if at[name] < len(ids) and (least is None or ids[at[name]] < least):
+                    least = ids[at[name]]
+            if least is not None:
+                used_left.add(i)
+                used_right.add(least)
+                out.append((i, least, score))
+    return out
+
+
+def fuzzy_one_to_one(left: DataFrame, right: DataFrame, block: Sequence[str], left_id: str, right_id: str, left_name: str, right_name: str, floor: float) -> DataFrame:
+    """block, left_id, right_id, score: what :func:`greedy_one_to_one` chooses of :func:`fuzzy_pairs`, with each pair of different
+    names compared once a block and rows of one name never formed into pairs. A block's rows, not its pairs, meet in a task. Rows
+    without an id have no part."""
+    left, right = left.dropna(subset=[left_id, left_name]), right.dropna(subset=[right_id, right_name])
+    names = fuzzy_pairs(left.select(*block, left_name).distinct(), right.select(*block, right_name).distinct(), block, left_name, right_name, floor)
+    rows = left.select(*block, left_id, F.col(left_name).alias("__name")).unionByName(right.select(*block, right_id, F.col(right_name).alias("__name")), allowMissingColumns=True)
+    rows = rows.select(*(F.col(c).alias(c) for c in rows.columns))  # attributes of its own, for the cogroup
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def choose(key: tuple, scored: pa.Table, own: pa.Table) -> pa.Table:
+        ids: tuple[dict, dict] = {}, {}
+        for l, r, name in zip(own[left_id].to_pylist(), own[right_id].to_pylist(), own["__name"].to_pylist(), strict=True):
+            side, i = (0, l) if r is None else (1, r)
+            ids[side].setdefault(name, set()).add(i)
+        scores = list(zip(scored[left_name].to_pylist(), scored[right_name].to_pylist(), scored["score"].to_pylist(), strict=True))
+        found = best_first(scores, *({name: sorted(x) for name, x in side.items()} for side in ids))
+        columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((own.schema.field(left_id).type, own.schema.field(right_id).type, pa.float64()))]
+        blocks = [pa.array([k.as_py()] * len(found), k.type) for k in key]
+        return pa.Table.from_arrays([*blocks, *columns], names=[*block, left_id, right_id, "score"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*block, left_id, right_id)), "score double"])
+    return names.groupBy(*block).cogroup(rows.groupBy(*block)).applyInArrow(choose, schema)
+
+
 def best_match(pairs: DataFrame, left_id: str, score: str, tie: str, columns: Sequence[str]) -> DataFrame:
     """Each left row's best partner."""
     best = F.max(F.struct(F.col(score), (-F.xxhash64(tie)).alias("__tie"), *columns)).alias("__best")

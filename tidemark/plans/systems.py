@@ -60,8 +60,8 @@ def fuzzy_name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a brand and size under two spellings of their names, matched one to one."""
     left = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("left_id"), "p_brand", "p_size", F.col("p_name").alias("left_name"))
     right = left.select(F.col("left_id").alias("right_id"), "p_brand", "p_size", F.regexp_replace("left_name", "[aeiou](?=[a-z]$)", "").alias("right_name"))
-    pairs = I.fuzzy_pairs(left, right, ["p_brand", "p_size"], "left_name", "right_name", 80.0)
-    return I.greedy_one_to_one(pairs, ["p_brand", "p_size"], "left_id", "right_id", "score").select("left_id", "right_id", F.round("score", 6).alias("score"))
+    found = I.fuzzy_one_to_one(left, right, ["p_brand", "p_size"], "left_id", "right_id", "left_name", "right_name", 80.0)
+    return found.select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH l AS (SELECT c_custkey AS left_id, c_nationkey AS k, c_mktsegment AS g FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT s_suppkey AS right_id, s_nationkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS g FROM supplier),
