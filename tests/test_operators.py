@@ -411,3 +411,31 @@ def test_fuzzy_one_to_one_is_greedy_over_all_pairs_without_forming_them(spark):
     copies = spark.range(2000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit(1).alias("p_size"), F.concat(F.lit("blue ring "), F.col("id") % 2).alias("p_name"))
     pairs = I.fuzzy_one_to_one(copies.toDF("l", "b", "s", "m"), copies.toDF("r", "b", "s", "n"), ["b", "s"], "l", "r", "m", "n", 80.0)
     assert pairs.filter("l = r and score = 100").count() == pairs.count() == 2000
+
+
+@pytest.mark.parametrize("many_units,dense", [(True, 2048), (False, 2048), (True, 2)])
+def test_ridge_strengths_equal_the_dense_solution(spark, monkeypatch, many_units, dense):
+    monkeypatch.setattr(M, "DENSE", dense)
+    rng, (units, others) = random.Random(6), (40, 5) if many_units else (5, 40)
+    rows = [(g, rng.randrange(units), rng.randrange(others), rng.uniform(0, 30), rng.choice([0.5, 1.0])) for g in ("a", "b", None) for _ in range(300)]
+    rows += [("a", None, 1, 5.0, 1.0), ("a", 1, None, 5.0, 1.0), ("a", 1, 1, None, 1.0)]
+    want = {}
+    for group in ("a", "b", None):
+        own = [r for r in rows if r[0] == group and None not in r[1:]]
+        us, os = sorted({r[1] for r in own}), sorted({r[2] for r in own})
+        x, y, w = np.zeros((len(own), len(us) + len(os))), np.array([r[3] for r in own]), np.array([r[4] for r in own])
+        for k, r in enumerate(own):
+            x[k, us.index(r[1])] = x[k, len(us) + os.index(r[2])] = 1
+        mean = (y * w).sum() / w.sum()
+        solved = np.linalg.solve(x.T @ (w[:, None] * x) + 20 * np.eye(x.shape[1]), x.T @ (w * (y - mean)))
+        want |= {(group, u): (mean, solved[k], sum(r[1] == u for r in own)) for k, u in enumerate(us)}
+    df = spark.createDataFrame(rows, "g string, u int, o int, y double, w double")
+    found = M.ridge_strengths(df, ["g"], "u", "o", "y", F.col("w")).collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert (r.mean, r.strength, r.n) == pytest.approx(want[r.g, r.u], abs=1e-8)
+
+
+def test_ridge_strengths_of_many_units_need_no_square_matrix(spark):
+    df = spark.range(60_000).select(F.lit(1).alias("g"), (F.col("id") % 30_000).alias("u"), (F.col("id") % 7).alias("o"), (F.col("id") % 11).cast("double").alias("y"))
+    assert M.ridge_strengths(df, ["g"], "u", "o", "y", F.lit(1.0)).filter("n = 2 and strength is not null").count() == 30_000  # dense: 7 GB

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,32 +129,107 @@ def over_expectation(df: DataFrame, season: str, keys: Sequence[str], target: st
     return empty if found is None else found
 
 
+#: Values of a side whose square matrix a group's task holds in :func:`ridge_strengths`; it needs one side within this.
+DENSE = 2048
+
+
 def ridge_strengths(df: DataFrame, groups: Sequence[str], unit: str, other: str, value: str, weight: Column, strength: float = 20.0) -> DataFrame:
-    """Adjusted strength of each unit against each opponent, by weighted ridge regression on both sides' dummies.
+    """Adjusted strength of each unit against each opponent, by weighted ridge regression on both sides' dummies. Rows without a
+    unit, opponent, value or weight have no part.
 
-    Rows are first summed to pairs (unit, opponent) of each group, which is all that the normal equations need; only these
-    sums, at most units x opponents, reach a group's task."""
+    Rows are first summed to pairs (unit, opponent) of each group, which is all that the normal equations need. In these a unit
+    meets no other unit, so the side with more values is eliminated where its rows are, in parts: a group's task solves for the
+    other side only. Where both sides are beyond ``DENSE`` a group's task gets its pairs and solves by conjugate gradients, so its
+    memory grows with the pairs and not with their squares."""
     ship(df.sparkSession)
-    pairs = df.groupBy(*groups, unit, other).agg(F.sum(weight).alias("__w"), F.sum(F.col(value) * weight).alias("__wy"), F.count(F.lit(1)).alias("__n"))
+    rows = df.withColumn("__w", weight.cast("double")).dropna(subset=[unit, other, value, "__w"])
+    sums = F.sum("__w").alias("__w"), F.sum(F.col(value) * F.col("__w")).cast("double").alias("__wy"), F.count(F.lit(1)).alias("__n")
+    pairs = rows.groupBy(*groups, unit, other).agg(*sums)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    units, others = rows.agg(F.approx_count_distinct(unit), F.approx_count_distinct(other)).first()
+    of_group = [f"`{g}` {kinds[g]}" for g in groups]
+    schema = ", ".join([*of_group, f"`{unit}` {kinds[unit]}", "mean double", "strength double", "n long"])
+    if min(units, others) > DENSE:
+        return pairs.groupBy(*groups).applyInPandas(lambda r: _ridge_by_gradients(r, groups, unit, other, strength), schema)
+    held, gone = (unit, other) if units < others else (other, unit)
+    parts = pairs.groupBy(*groups, gone).agg(F.collect_list(F.struct(F.col(held).alias("k"), "__w", "__wy", F.col("__n").cast("double").alias("n"))).alias("__parts"))
+    names = [f"g{k}" for k in range(len(groups))]
+    renamed = ", ".join([*(f"{c} {kinds[g]}" for c, g in zip(names, groups, strict=True)), f"k {kinds[held]}", f"l {kinds[held]}", *(f"{c} double" for c in _CELLS)])
+    cells = parts.select(*(F.col(g).alias(c) for c, g in zip(names, groups, strict=True)), "__parts").mapInArrow(lambda b: _ridge_cells(b, len(names), strength), renamed)
+    cells = cells.groupBy(*names, "k", "l").agg(*(F.sum(c).alias(c) for c in _CELLS))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        u, units = pd.factorize(rows[unit], sort=True)
-        o, others = pd.factorize(rows[other], sort=True)
-        w, wy = rows["__w"].to_numpy(float), rows["__wy"].to_numpy(float)
-        mean = wy.sum() / w.sum()
-        size = len(units) + len(others)
-        a, b = np.zeros((size, size)), np.zeros(size)
-        for i, j in ((u, u), (u, len(units) + o), (len(units) + o, u), (len(units) + o, len(units) + o)):
-            np.add.at(a, (i, j), w)
-        np.add.at(b, u, wy - mean * w)
-        np.add.at(b, len(units) + o, wy - mean * w)
-        solved = np.linalg.solve(a + strength * np.eye(size), b)
-        n = np.bincount(u, rows["__n"].to_numpy(float), len(units)).astype(int)
-        return pd.DataFrame({**{g: [rows[g][0]] * len(units) for g in groups}, unit: units, "mean": mean, "strength": solved[: len(units)], "n": n})
-
-    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), f"`{unit}` {kinds[unit]}", "mean double", "strength double", "n long"])
-    return pairs.groupBy(*groups).applyInPandas(solve, schema)
+        own = rows[rows["k"] == rows["l"]].sort_values("k", ignore_index=True)
+        place = pd.Index(own["k"])
+        a = np.diag(own["w"].to_numpy() + strength)
+        a[place.get_indexer(rows["k"]), place.get_indexer(rows["l"])] -= rows["s"].to_numpy()
+        mean = own["wy"].sum() / own["w"].sum()
+        x = np.linalg.solve(a, (own["wy"] - own["ry"] - mean * (own["w"] - own["rw"])).to_numpy())
+        return pd.DataFrame({**{c: rows[c].iloc[:1].repeat(len(own)).to_numpy() for c in names}, "k": own["k"], "mean": mean, "strength": x, "n": own["n"].round().astype("int64")})
+
+    solved = cells.groupBy(*names).applyInPandas(solve, ", ".join([*renamed.split(", ")[: len(names) + 1], "mean double", "strength double", "n long"]))
+    if held == unit:
+        return solved.toDF(*groups, unit, "mean", "strength", "n")
+    same = [F.col(g).eqNullSafe(F.col(c)) for c, g in zip(names, groups, strict=True)]
+    met = pairs.join(solved.drop("n"), [*same, F.col(other) == F.col("k")]).groupBy(*groups, unit)
+    w, left = F.sum("__w"), F.sum(F.col("__wy") - F.col("__w") * (F.col("mean") + F.col("strength")))
+    found = met.agg(F.first("mean").alias("mean"), F.try_divide(left, w + strength).alias("strength"), F.sum("__n").alias("n"))
+    return found.select(*groups, unit, "mean", "strength", "n")
+
+
+#: Sums by pair of values of the side that is solved for; all but ``s`` are on the diagonal.
+_CELLS = ["s", "w", "wy", "rw", "ry", "n"]
+
+
+def _ridge_cells(batches: Iterator[pa.RecordBatch], depth: int, strength: float) -> Iterator[pa.RecordBatch]:
+    """Sums for the equations that remain of rows (groups, parts), a row for each value of the side that is eliminated."""
+    for batch in batches:
+        codes: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(depth)), strict=True) if depth else [()] * batch.num_rows):
+            codes.setdefault(key, []).append(i)
+        for places in codes.values():
+            for first in range(0, len(places), 1024):
+                own = batch.take(pa.array(places[first : first + 1024]))
+                lists = own.column(depth)
+                flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                coded = pc.dictionary_encode(flat.field(0))
+                at, values = coded.indices.to_numpy(), coded.dictionary
+                w, y, n = np.zeros((len(lists), len(values))), np.zeros((len(lists), len(values))), np.zeros(len(values))
+                w[row, at], y[row, at] = flat.field(1).to_numpy(), flat.field(2).to_numpy()
+                np.add.at(n, at, flat.field(3).to_numpy())
+                scaled = w / (w.sum(1) + strength)[:, None]
+                s, hit = scaled.T @ w, (w != 0).T.astype(float) @ (w != 0) > 0
+                np.fill_diagonal(hit, True)
+                i, j = np.nonzero(hit)
+                on = i == j
+                sums = [s[i, j], *(np.where(on, x[i], 0.0) for x in (w.sum(0), y.sum(0), scaled.T @ w.sum(1), scaled.T @ y.sum(1), n))]
+                keys = [own.column(k).take(pa.array(np.zeros(len(i), np.int64))) for k in range(depth)]
+                names = [*(f"g{k}" for k in range(depth)), "k", "l", *_CELLS]
+                yield pa.RecordBatch.from_arrays([*keys, values.take(pa.array(i)), values.take(pa.array(j)), *map(pa.array, sums)], names=names)
+
+
+def _ridge_by_gradients(rows: pd.DataFrame, groups: Sequence[str], unit: str, other: str, strength: float) -> pd.DataFrame:
+    """The same from a group's pairs, by conjugate gradients scaled by the diagonal."""
+    u, units = pd.factorize(rows[unit], sort=True)
+    o, others = pd.factorize(rows[other], sort=True)
+    w, wy = rows["__w"].to_numpy(float), rows["__wy"].to_numpy(float)
+    mean, size = wy.sum() / w.sum(), len(units)
+    both = lambda x, y: np.concatenate([np.bincount(u, x, size), np.bincount(o, y, len(others))])
+    scale = both(w, w) + strength
+    x, left = np.zeros(len(scale)), both(wy - mean * w, wy - mean * w)
+    z = p = left / scale
+    enough, now = 1e-26 * float(left @ z), float(left @ z)
+    for _ in range(10 * len(scale)):
+        if not now > enough:
+            break
+        ap = scale * p + both(w * p[size + o], w * p[u])
+        step = now / float(p @ ap)
+        x, left = x + step * p, left - step * ap
+        z = left / scale
+        now, before = float(left @ z), now
+        p = z + now / before * p
+    n = np.bincount(u, rows["__n"].to_numpy(float), size).astype(int)
+    return pd.DataFrame({**{g: rows[g].iloc[:1].repeat(size).to_numpy() for g in groups}, unit: units, "mean": mean, "strength": x[:size], "n": n})
 
 
 def recency(week: Column, last: Column, span: float) -> Column:
