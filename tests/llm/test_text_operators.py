@@ -677,4 +677,21 @@ def test_kth_largest_of_many_ties(spark):
     for k in (1, 2, 290, 300, 500, 502):
         want = ordered[k - 1] if k < len(values) else -np.inf
         assert importance.kth_largest(frame, k, bins=8, few=5) == want
-    assert importance.kth_largest(frame, 0) == np.inf
\ No newline at end of file
+    assert importance.kth_largest(frame, 0) == np.inf
+
+def test_components_of_few_edges_take_one_task_and_equal_those_of_the_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    chain = [(k, k + 1) for k in range(0, 300)]
+    edges = [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(450)] + chain + [(-5, 7_000_000_000), (7_000_000_000, -(1 << 63)), (4, 4), (8888, 8888)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    writes, really = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: writes.append(name) or really(df, name))
+    once = simhash.components(frame).collect()
+    assert writes == ["edges"] and not simhash.components(frame.limit(0)).collect()
+    monkeypatch.setattr(simhash, "TOGETHER", -1)
+    rounds = simhash.components(frame).collect()
+    monkeypatch.setattr(simhash, "TOGETHER", len({n for e in edges for n in e if e[0] != e[1]}) - 20)
+    mixed = simhash.components(frame).collect()
+    assert sorted(once) == sorted(rounds) == sorted(mixed) and len({r.node for r in once}) == len(once)
+    root = {r.node: r.root for r in once}
+    assert all(root[u] == root[v] for u, v in edges if u != v) and root[300] == 0 and root[-5] == -(1 << 63) and 8888 not in root and all(r.root <= r.node and root[r.root] == r.root for r in once)

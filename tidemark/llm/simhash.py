@@ -39,6 +39,8 @@ FAR = 28
 BLOCKS, TRIED = 16, 2
 #: Texts of one group that a task compares by their shingles at once.
 TEXTS = 512
+#: Edges whose components one task finds, in 8 MB and what it sorts them with; of more, rounds over all executors leave fewer.
+TOGETHER = 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -251,8 +253,26 @@ def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataF
     return rows.join(hot, key).unionByName(rest)
 
 
+def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all edges u, v: each end's root goes to the lesser root, then every node to its root's root."""
+    ends = [np.stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows]
+    if not ends:
+        return
+    nodes, (u, v) = np.unique(np.concatenate(ends, 1), return_inverse=True)
+    root = np.arange(len(nodes))
+    while (apart := root[u] != root[v]).any():
+        x, y = root[u[apart]], root[v[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (further := root[root] != root).any():
+            root[further] = root[root[further]]
+    for a in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[a : a + (1 << 16)]), pa.array(nodes[root[a : a + (1 << 16)]])], names=["node", "root"])
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, root (the component's least node) of every node on an edge, by alternating large-star and small-star."""
+    """node, root (the component's least node) of every node on an edge: by one task from ``TOGETHER`` edges on down, else by
+    alternating large-star and small-star until there are no more than that or nothing changes. Each round is a plan of two dozen
+    stages, which the driver compiles and keeps, so few edges get none."""
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -270,8 +290,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     current = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = state(current)
     for _ in range(most):
-        if not before[0]:
-            break
+        if before[0] <= TOGETHER:
+            return arrow(current.coalesce(1), _least_reachable, "node long, root long")
         current = written(star(star(current, True, before[0]), False, before[0]), "stars")
         now = state(current)
         if now == before:
